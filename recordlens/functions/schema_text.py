@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordlens.functions.binding import let
+
 SCHEMA_STATUSES = ["valid_object", "missing", "malformed", "non_object"]
 
 # Texts the model input must show.
@@ -29,11 +31,6 @@ def _typed_map(c: Column) -> Column:
     return F.from_json(c, "map<string,variant>", _STRICT)
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once per row, so ``body`` may use it many times."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _last(mapping: Column, key: Column) -> Column:
     """Value of the last entry with this key (a repeated key overwrites)."""
     hits = F.filter(F.map_entries(mapping), lambda e: e["key"] == key)
@@ -57,7 +54,7 @@ def _entries(c: Column) -> Column:
         return F.transform(F.array_distinct(F.map_keys(maps["raw"])), one)
 
     maps = F.struct(_raw_map(c).alias("raw"), _typed_map(c).alias("typed"))
-    return _let(maps, entry)
+    return let(maps, entry)
 
 
 def _find(entries: Column, key: str) -> Column:
@@ -233,7 +230,7 @@ def _property_line(prop: Column, required: Column) -> Column:
             ).otherwise(""),
         )
 
-    return _let(F.struct(_entries(prop["raw"]).alias("fields")), line)
+    return let(F.struct(_entries(prop["raw"]).alias("fields")), line)
 
 
 def _object_prose(fields: Column) -> Column:
@@ -264,7 +261,7 @@ def _object_prose(fields: Column) -> Column:
         )
 
     properties = _find(fields, "properties")
-    return _let(
+    return let(
         F.struct(
             _find(fields, "description").alias("description"),
             properties.alias("properties"),
@@ -292,7 +289,7 @@ def schema_prose(c: Column) -> Column:
         ).otherwise(F.concat(F.lit("Schema unavailable: "), error))
 
     blank = F.coalesce(F.trim(c, F.lit(_JSON_SPACE)) == "", F.lit(True))
-    return _let(
+    return let(
         F.struct(
             c.alias("text"),
             schema_status(c, blank).alias("status"),
