@@ -31,11 +31,15 @@ def score(
 ) -> DataFrame:
     """Add ``predicted_category`` and ``confidence``. Rows keep their keys, so
     nothing is paired by position, and the model is loaded once per worker."""
-    # One scoring call per row, even though two columns read the logits.
     scorer = predict_batch_udf(
         loader, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )
-    logits = df.withColumn("_text", text).withColumn("_logits", scorer("_text"))
+    # The text is read twice, so the optimizer computes it below the scorer
+    # instead of copying its lambdas into the scorer's arguments.
+    present = F.col("_text").isNotNull()
+    logits = df.withColumn("_text", text).withColumn(
+        "_logits", F.when(present, scorer("_text"))
+    )
     return logits.select(
         *df.columns,
         top_label(F.col("_logits"), labels).alias("predicted_category"),

@@ -260,7 +260,7 @@ p AS (SELECT vec_id, z, list_transform(z, lambda v: exp(v - list_max(z))) AS x F
 @query(
     "softmax_top_class",
     f"WITH {_SOFTMAX} SELECT vec_id, list_position(z, list_max(z)) - 1 AS label_id, "
-    "round(CAST(list_max(x) / list_sum(x) AS DOUBLE), 6) AS confidence FROM p",
+    "round(CAST(CAST(1.0 / list_sum(x) AS FLOAT) AS DOUBLE), 6) AS confidence FROM p",
 )
 def softmax_top_class(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
