@@ -94,29 +94,6 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, F.array_compact(pairs))
 
 
-def run_lengths(sorted_terms: Column) -> Column:
-    """``array<struct<term, tf>>`` of a sorted term array, counted inside the row."""
-    starts = F.array_compact(
-        F.transform(
-            sorted_terms,
-            lambda term, i: F.when(
-                (i == 0) | (F.get(sorted_terms, i - 1) != term), i
-            ),
-        )
-    )
-    ends = F.concat(_rest(starts), F.array(F.size(sorted_terms)))
-    counted = F.zip_with(
-        starts,
-        ends,
-        lambda a, b: F.struct(
-            F.get(sorted_terms, a).alias("term"), (b - a).cast("int").alias("tf")
-        ),
-    )
-    return F.when(F.size(sorted_terms) > 0, counted).otherwise(
-        F.array().cast("array<struct<term:string,tf:int>>")
-    )
-
-
 def truncate_tokens(tokens: Column, limit: int) -> Column:
     """Keep the first ``limit`` tokens."""
     return F.slice(tokens, F.lit(1), F.lit(limit))

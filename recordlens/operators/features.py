@@ -1,7 +1,7 @@
 """TF-IDF over word 1-2-grams: sublinear tf, smooth idf, L2-normalised rows.
 
-Term counts are taken inside each row (sort, then run lengths), so fitting
-shuffles one partial count per term and map task, never (document, term) rows.
+Fitting shuffles one partial count per term and map task, never (document, term)
+rows. Vectorising shuffles each text once, by its key, and nothing after that.
 """
 
 from __future__ import annotations
@@ -10,32 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordlens.functions.text import run_lengths, with_bigrams, words
+from recordlens.functions.text import with_bigrams, words
 from recordlens.session import BROADCAST_ROW_LIMIT, cut_lineage
 
-ENTRY = "array<struct<ix:int,tf:int,w:double>>"
 
-
-def term_counts(df: DataFrame, text: str, *keep: str, bigrams: bool = True) -> DataFrame:
-    """``keep`` columns plus ``counts array<struct<term, tf>>``, computed in the row."""
+def grams(df: DataFrame, text: str, *keep: str, bigrams: bool = True) -> DataFrame:
+    """``keep`` columns plus ``terms``: words, then adjacent pairs."""
     tokens = df.select(*keep, words(F.col(text)).alias("_words"))
     terms = with_bigrams(F.col("_words")) if bigrams else F.col("_words")
-    ordered = tokens.select(*keep, F.sort_array(terms).alias("_terms"))
-    return ordered.select(*keep, run_lengths(F.col("_terms")).alias("counts"))
+    return tokens.select(*keep, terms.alias("terms"))
+
 
+def term_statistics(df: DataFrame, text: str, bigrams: bool = True) -> DataFrame:
+    """Document frequency and corpus count per term.
 
-def term_rows(counts: DataFrame, *keep: str) -> DataFrame:
-    """One row per (document, term). ``explode_outer`` keeps the optimizer from
-    copying the tokenizer into a size filter; rows of empty documents go here."""
-    rows = counts.select(*keep, F.explode_outer("counts").alias("_e"))
-    return rows.select(*keep, "_e.term", "_e.tf").filter(F.col("term").isNotNull())
+    Terms are sorted inside the row, so the first of a run marks a new document
+    for its term and one aggregate gives both counts. ``explode_outer`` keeps the
+    optimizer from copying the tokenizer into a size filter.
+    """
+    ordered = grams(df, text, bigrams=bigrams).select(F.sort_array("terms").alias("terms"))
 
+    def mark(term: Column, i: Column) -> Column:
+        repeated = (i > 0) & (F.get("terms", i - 1) == term)
+        return F.struct(term.alias("term"), F.when(repeated, 0).otherwise(1).alias("new"))
 
-def term_statistics(counts: DataFrame) -> DataFrame:
-    """Document frequency and corpus count per term."""
-    return term_rows(counts).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")
+    rows = ordered.select(F.explode_outer(F.transform("terms", mark)).alias("e")).select("e.*")
+    counted = rows.groupBy("term").agg(
+        F.sum("new").alias("df"), F.count(F.lit(1)).alias("ctf")
     )
+    return counted.filter(F.col("term").isNotNull())
 
 
 def smooth_idf(df: Column, n_docs: Column) -> Column:
@@ -76,9 +79,8 @@ def fit_vocabulary(
     """Fitted vocabulary ``(term, df, ctf, idf, ix)``; ``ix`` counts from the rarest term."""
     if not 0 < max_features <= BROADCAST_ROW_LIMIT:
         raise ValueError(f"max_features must be between 1 and {BROADCAST_ROW_LIMIT}")
-    counts = term_counts(df, text, bigrams=bigrams)
     # Read several times below, so it is written once; the tokenizer runs once.
-    stats = cut_lineage(term_statistics(counts).filter(F.col("df") >= min_df))
+    stats = cut_lineage(term_statistics(df, text, bigrams).filter(F.col("df") >= min_df))
     kept = most_frequent_terms(stats, max_features)
     n_docs = df.agg(F.count(F.lit(1))).scalar()
     # At most max_features rows reach this ordering.
@@ -96,24 +98,27 @@ def fit_vocabulary(
 def tfidf_entries(
     df: DataFrame, key: str, text: str, vocabulary: DataFrame, bigrams: bool = True
 ) -> DataFrame:
-    """``(key, v)`` with ``v`` the normalised entries, rarest term first.
+    """``(key, v)`` with ``v array<struct<ix, tf, w>>`` the normalised entries, rarest first.
 
     Terms outside the vocabulary drop out; a document without any keeps an
     empty array. Texts are partitioned by key once, before they are taken apart:
-    the broadcast join keeps that partitioning, so entries meet again by key
-    without a second shuffle. The vocabulary is bounded by ``max_features``.
+    the broadcast join keeps that partitioning, so terms are counted and gathered
+    by key without a second shuffle. The vocabulary is bounded by ``max_features``.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_key = df.select(key, text).repartition(n, key)
-    counts = term_counts(by_key, text, key, bigrams=bigrams)
+    terms = grams(by_key, text, key, bigrams=bigrams)
+    rows = terms.select(key, F.explode_outer("terms").alias("term"))
     small = F.broadcast(vocabulary.select("term", "ix", "idf"))
-    exploded = counts.select(key, F.explode_outer("counts").alias("_e")).select(key, "_e.*")
-    found = exploded.join(small, "term", "left")
+    found = rows.join(small, "term", "left")
+    counted = found.groupBy(key, "ix").agg(
+        F.count(F.lit(1)).cast("int").alias("tf"), F.first("idf").alias("idf")
+    )
     weight = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
     entry = F.when(F.col("ix").isNotNull(), F.struct("ix", "tf", weight.alias("w")))
     # The norm is an aggregate of its own: as a fold over ``v`` it would be
     # recomputed for every element it divides.
-    gathered = found.groupBy(key).agg(
+    gathered = counted.groupBy(key).agg(
         F.sort_array(F.collect_list(entry)).alias("v"),
         F.sqrt(F.sum(weight * weight)).alias("norm"),
     )

@@ -125,12 +125,6 @@ def test_tokens_and_pairs(spark):
     assert got[2] == [] and got[3] == ["one"]
 
 
-def test_run_lengths(spark):
-    df = spark.createDataFrame([(["a", "a", "b"],), ([],)], "t array<string>")
-    got = [[tuple(e) for e in r[0]] for r in df.select(text.run_lengths(F.col("t"))).collect()]
-    assert got == [[("a", 2), ("b", 1)], []]
-
-
 def test_softmax_first_maximum(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],), ([1000.0, 0.0, 0.0],)], "z array<float>")
     rows = df.select(
