@@ -42,13 +42,18 @@ def _entries(c: Column) -> Column:
 
     def entry(maps: Column):
         def one(key: Column) -> Column:
-            raw = _last(maps["raw"], key)
-            return F.struct(
-                key.alias("key"),
-                raw.alias("raw"),
-                F.when(maps["typed"].isNull(), _guessed_kind(raw))
-                .otherwise(_kind(_last(maps["typed"], key)))
-                .alias("kind"),
+            value = F.struct(
+                _last(maps["raw"], key).alias("raw"), _last(maps["typed"], key).alias("typed")
+            )
+            return let(
+                value,
+                lambda v: F.struct(
+                    key.alias("key"),
+                    v["raw"].alias("raw"),
+                    F.when(maps["typed"].isNull(), _guessed_kind(v["raw"]))
+                    .otherwise(_kind(v["typed"]))
+                    .alias("kind"),
+                ),
             )
 
         return F.transform(F.array_distinct(F.map_keys(maps["raw"])), one)
@@ -84,13 +89,12 @@ def schema_status(c: Column, blank: Column) -> Column:
 
 def _kind(typed: Column) -> Column:
     """JSON kind of a variant: STRING, NUMBER, BOOLEAN, ARRAY, OBJECT or VOID."""
-    name = F.schema_of_variant(typed)
-    return (
-        F.when(typed.isNull(), F.lit("VOID"))
-        .when(name.isin("STRING", "BOOLEAN", "VOID"), name)
+    return let(
+        F.coalesce(F.schema_of_variant(typed), F.lit("VOID")),
+        lambda name: F.when(name.isin("STRING", "BOOLEAN", "VOID"), name)
         .when(F.startswith(name, F.lit("ARRAY")), "ARRAY")
         .when(F.startswith(name, F.lit("OBJECT")), "OBJECT")
-        .otherwise("NUMBER")
+        .otherwise("NUMBER"),
     )
 
 
@@ -127,7 +131,7 @@ def _shown_token(token: Column) -> Column:
         .when(token == "true", "True")
         .when(token == "false", "False")
         .when(token == "null", "None")
-        .when(F.startswith(token, F.lit('"')), _quoted(text))
+        .when(F.startswith(token, F.lit('"')), let(text, _quoted))
         .otherwise(token)
     )
 
@@ -215,9 +219,7 @@ def _required_error(required: Column) -> Column:
 
 def _property_line(prop: Column, required: Column) -> Column:
     def line(spec: Column) -> Column:
-        description, enum, kind = (
-            _find(spec["fields"], key) for key in ("description", "enum", "type")
-        )
+        description, enum, kind = (spec[key] for key in ("description", "enum", "type"))
         return F.concat(
             F.lit("- "),
             prop["key"],
@@ -230,7 +232,11 @@ def _property_line(prop: Column, required: Column) -> Column:
             ).otherwise(""),
         )
 
-    return let(F.struct(_entries(prop["raw"]).alias("fields")), line)
+    def parts(fields: Column) -> Column:
+        found = [_find(fields, key).alias(key) for key in ("description", "enum", "type")]
+        return let(F.struct(*found), line)
+
+    return let(_entries(prop["raw"]), parts)
 
 
 def _object_prose(fields: Column) -> Column:
