@@ -118,7 +118,8 @@ def label_distribution(
     """Count and share of all rows per label, zero-filled, in label order."""
     counted = df.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     filled = zero_fill(counted, labels)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # NULL labels have a count of their own, so this is every row.
+    total = counted.agg(F.sum("n")).scalar()
     return filled.withColumn("percentage", percent(F.col("n"), F.nullif(total, F.lit(0))))
 
 

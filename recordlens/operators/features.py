@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recordlens.functions.text import with_bigrams, words
-from recordlens.session import BROADCAST_ROW_LIMIT, cut_lineage
+from recordlens.session import BROADCAST_ROW_LIMIT, cut_lineage, shuffle_width
 
 
 def grams(df: DataFrame, text: str, *keep: str, bigrams: bool = True) -> DataFrame:
@@ -105,8 +105,8 @@ def tfidf_entries(
     the broadcast join keeps that partitioning, so terms are counted and gathered
     by key without a second shuffle. The vocabulary is bounded by ``max_features``.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_key = df.select(key, text).repartition(n, key)
+    source = df.select(key, text)
+    by_key = source.repartition(shuffle_width(source), key)
     terms = grams(by_key, text, key, bigrams=bigrams)
     rows = terms.select(key, F.explode_outer("terms").alias("term"))
     small = F.broadcast(vocabulary.select("term", "ix", "idf"))

@@ -6,11 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # A broadcast must fit every executor with room to spare.
 BROADCAST_ROW_LIMIT = 2_000_000
 
+# Input bytes per shuffle partition, and the estimate above which nothing is known.
+PARTITION_BYTES = 128 * 1024 * 1024
+_UNKNOWN_SIZE = 1 << 50
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -58,6 +61,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a side whose row bound is known and small."""
-    return F.broadcast(df) if rows <= BROADCAST_ROW_LIMIT else df
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions for a shuffle of ``df``: the configured number, or more when the
+    planner's size estimate says that many would be too large to hold."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > _UNKNOWN_SIZE:
+        return configured
+    return max(configured, -(-size // PARTITION_BYTES))

@@ -140,10 +140,15 @@ def schema_prose(spark, sf_dir):
     return r.select("record_id", schema_text.schema_prose(F.col("input_schema")).alias("prose"))
 
 
+MODEL_TEXT_SQL = (
+    "'Tool name: ' || coalesce(name, 'None') || chr(10) || 'Description: ' || "
+    f"coalesce(description, 'None') || chr(10) || {_PROSE}"
+)
+
+
 @query(
     "model_texts",
-    f"WITH {PART_RECORDS} SELECT record_id, 'Tool name: ' || coalesce(name, 'None') || chr(10) || "
-    f"'Description: ' || coalesce(description, 'None') || chr(10) || {_PROSE} AS text FROM records",
+    f"WITH {PART_RECORDS} SELECT record_id, {MODEL_TEXT_SQL} AS text FROM records",
 )
 def model_texts(spark, sf_dir):
     r = part_records(spark, sf_dir)

@@ -64,6 +64,7 @@ STATUS = [
     ("1,2", "malformed"),
     ("[1]", "non_object"),
     ("null", "non_object"),
+    ("NaN", "non_object"),
     ("1", "non_object"),
     ('"x"', "non_object"),
     ("{}", "valid_object"),
