@@ -54,9 +54,8 @@ def near_duplicate_tables(records: DataFrame) -> dict[str, DataFrame]:
     # Fixed once, so every later read sees the same row numbers.
     rows = cut_lineage(train.withColumn(_ROW, F.monotonically_increasing_id()))
     text = similarity_text(*[F.col(c) for c in TEXT_FIELDS])
-    found = cut_lineage(
-        neighbors.nearest_neighbors(rows.select(_ROW, text.alias("_t")), _ROW, "_t")
-    )
+    found = neighbors.nearest_for_top(rows.select(_ROW, text.alias("_t")), _ROW, "_t")
+    near = found.filter(F.col("similarity") >= neighbors.THRESHOLD)
     top = neighbors.top_pairs(found, rows, _ROW, "name", "category")
     ids = rows.select(_ROW, ID)
     # Twenty rows: give back the record ids.
@@ -73,7 +72,7 @@ def near_duplicate_tables(records: DataFrame) -> dict[str, DataFrame]:
         "label_b",
     ).orderBy(F.desc("similarity"), "record_id_a")
     return {
-        "near_duplicate_summary": neighbors.near_duplicate_summary(found, rows),
+        "near_duplicate_summary": neighbors.near_duplicate_summary(near, rows),
         "near_duplicate_examples": examples,
     }
 

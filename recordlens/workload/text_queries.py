@@ -11,7 +11,6 @@ from recordlens.domain import MAX_TOKENS, encode_label, decode_label
 from recordlens.functions import probability, schema_text, text
 from recordlens.workload.registry import query
 from recordlens.workload.tables import (
-    DOC_LABELS,
     DOCUMENT_RECORDS,
     PART_LABELS,
     PART_RECORDS,

@@ -111,6 +111,15 @@ def test_hot_group_of_copies(spark):
     assert got == python_neighbors(texts)
 
 
+def test_top_rows_below_the_threshold(spark):
+    r = random.Random(7)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(30)], k=12)) for _ in range(40)]
+    found = neighbors.nearest_for_top(frame(spark, texts), "id", "text", k=5)
+    got = sorted((-x["similarity"], x["id"], x["other"]) for x in found.collect())[:5]
+    every = python_neighbors(texts, threshold=0.0)
+    assert got == sorted((-s, i, j) for i, (j, s) in every.items())[:5]
+
+
 def test_join_hot_keys_keeps_every_row(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     lookup = rows.select("k").distinct().withColumn("v", F.col("k") * 2)

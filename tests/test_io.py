@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from recordlens.domain import LABELS
 from recordlens.operators import contracts
