@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordlens.llm.exact_dedup import exact_groups
+from recordlens.llm.packing import pack
 from recordlens.llm.store import table
+from recordlens.llm.token_files import read_ids, write_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +21,23 @@ def _query(fn: Query) -> Query:
     return fn
 
 
+def word_bpe() -> str:
+    """The vocabulary file the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, size=4096)
+
+
+@_query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_ids(write_ids(table(spark, sf_dir, "documents"), word_bpe(), end_id=2))
+
+
 @_query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
