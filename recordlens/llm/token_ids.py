@@ -28,9 +28,35 @@ REMEMBERED = 700_000
 _LOADED: dict[str, TokenIds] = {}
 
 
+class _Stretches(dict):
+    """Ids of stretches as bytes, worked out when first asked for."""
+
+    def __init__(self, whole):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.whole, self.model = whole, whole.model
+        self.to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, stretch: bytes) -> bytes:
+        text = stretch.decode()
+        match = _PLAIN.fullmatch(text.lower())
+        if match and match[1]:
+            word = match[1]
+            if not word.isascii():
+                word = self.to_bytes.pre_tokenize_str(word)[0][0]
+            ids = np.array([t.id for t in self.model.tokenize(word)], np.uint16).tobytes()
+            if match[2]:
+                ids += self[match[2].encode()]
+        else:
+            found = self.whole.encode(text, add_special_tokens=False)
+            ids = np.array(found.ids, np.uint16).tobytes()
+        self[stretch] = ids
+        return ids
+
+
 class TokenIds:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -40,74 +66,25 @@ class TokenIds:
             (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZER
             and split[0].get("pattern") == {"Regex": _PATTERN}
             and split[0].get("behavior") == "Removed"
-            and bool(spec["model"].get("end_of_word_suffix"))
             and self.whole.get_vocab_size() <= 1 << 16
         )
-        # Each word ends with the only one of its ids that carries the suffix.
-        suffix = spec["model"].get("end_of_word_suffix") or "\0"
-        self.ends_word = np.zeros(self.whole.get_vocab_size(), bool)
-        for piece, i in spec["model"]["vocab"].items() if self.by_stretch else ():
-            self.ends_word[i] = piece.endswith(suffix)
-        self.letters = Tokenizer(self.whole.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
-            [
-                pre_tokenizers.WhitespaceSplit(),
-                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ]
-        )
-        self.seen: dict[bytes, bytes] = {}
+        self.seen = _Stretches(self.whole)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text as unsigned 32-bit integers."""
         if not self.by_stretch:
             found = self.whole.encode_batch([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, np.uint32) for e in found]
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        look = self.seen.__getitem__
         out = []
-        for first in range(0, len(texts), 256):
+        for text in texts:
             # Lower-casing ASCII first is harmless except inside a special token.
-            parts = [
-                (t if b"<|" in t else t.lower()).split() for t in texts[first : first + 256]
-            ]
-            if len(self.seen) > REMEMBERED:
-                self.seen.clear()
-            self._learn(set().union(*parts) - self.seen.keys())
-            get = self.seen.__getitem__
-            out += [
-                np.frombuffer(b"".join(map(get, p)), np.uint16).astype(np.uint32) for p in parts
-            ]
+            parts = (text if b"<|" in text else text.lower()).split()
+            out.append(np.frombuffer(b"".join(map(look, parts)), np.uint16).astype(np.uint32))
         return out
 
-    def _learn(self, stretches: set[bytes]) -> None:
-        plain, other = [], []
-        for stretch in stretches:
-            text = stretch.decode()
-            match = _PLAIN.fullmatch(text.lower())
-            if match and match[1]:
-                plain.append((stretch, match[1], match[2]))
-            else:
-                other.append((stretch, text))
-        self._learn_whole(other)
-        marks = {mark for _, _, mark in plain if mark and mark.encode() not in self.seen}
-        self._learn_whole([(mark.encode(), mark) for mark in marks])
-        for first in range(0, len(plain), 4096):
-            some = plain[first : first + 4096]
-            found = self.letters.encode_batch_fast(
-                [" ".join(word for _, word, _ in some)], add_special_tokens=False
-            )[0]
-            ids = np.array(found.ids, np.uint16)
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 2
-            ids = ids.tobytes()
-            start = 0
-            for (stretch, _, mark), end in zip(some, ends.tolist()):
-                tail = self.seen[mark.encode()] if mark else b""
-                self.seen[stretch] = ids[start:end] + tail
-                start = end
-
-    def _learn_whole(self, stretches: list[tuple[bytes, str]]) -> None:
-        found = self.whole.encode_batch([t for _, t in stretches], add_special_tokens=False)
-        for (stretch, _), e in zip(stretches, found):
-            self.seen[stretch] = np.array(e.ids, np.uint16).tobytes()
-
 
 def token_ids(path: str) -> TokenIds:
     """One instance per Python worker."""
