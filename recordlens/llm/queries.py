@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordlens.llm.decontaminate import find_passages
 from recordlens.llm.exact_dedup import exact_groups
 from recordlens.llm.html_extract import extract
+from recordlens.llm.language import identify, learn
 from recordlens.llm.packing import pack
 from recordlens.llm.store import table
 from recordlens.llm.token_files import read_ids, write_ids
@@ -33,6 +34,19 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def third_of(id_col: str = "doc_id"):
+    """The crc32 of the id as text, modulo 3; documents with remainder 1 are held out."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs.where(third_of() != 1)))
+    held_out = F.coalesce(third_of() == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "bits_per_letter")
+
+
 @_query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, size=4096)
