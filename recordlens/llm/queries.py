@@ -13,6 +13,7 @@ from recordlens.llm.html_extract import extract
 from recordlens.llm.language import identify, learn
 from recordlens.llm.packing import pack
 from recordlens.llm.store import table
+from recordlens.llm.substring_dedup import remove_repeats
 from recordlens.llm.token_files import read_ids, write_ids
 from recordlens.llm.warc import read_records, write_archives
 from recordlens.llm.word_pieces import count_pieces
@@ -145,3 +146,27 @@ SELECT page_id, url, payload_bytes, payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM r
 """
+
+
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL["op10_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM s),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at FROM f WHERE k > 1),
+v AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d WHERE len(w) > 0),
+k AS (
+  SELECT v.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY v.at) AS left_text
+  FROM v ANTI JOIN r ON v.doc_id = r.doc_id AND v.at = r.at GROUP BY v.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) AS BIGINT) - coalesce(kept, 0) AS n_removed,
+       sha256(coalesce(left_text, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
