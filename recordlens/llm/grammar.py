@@ -1,7 +1,7 @@
 """Re-Pair grammars over token ids, and the file that holds one shard of documents.
 
 A shard repeatedly replaces frequent neighbouring pairs by a new symbol. Each round takes
-all pairs at least an eighth as frequent as the most frequent one; overlapping places are
+all pairs at least a 32nd as frequent as the most frequent one; overlapping places are
 settled from left to right. A pair never starts with the end id, so every document starts
 at a symbol of its own and can be decoded alone from the rules and their expansion lengths.
 
@@ -104,7 +104,7 @@ class Shard:
 
 def compress(
     keys: list[int | None], documents: list[np.ndarray], end_id: int, terminals: int,
-    max_rules: int = 16_000, least: int = 12, rounds: int = 10,
+    max_rules: int = 16_000, least: int = 12, rounds: int = 5,
 ) -> Shard:
     """One shard from documents that each end with ``end_id``; all ids are below ``terminals``."""
     n_ids = np.array([len(d) for d in documents], np.int64)
@@ -145,7 +145,7 @@ def _replace(symbols, end_id, next_symbol, room, least):
     most = int(count.max())
     if most < least:
         return none
-    at = np.flatnonzero((count >= max(least, most // 8))[bucket] & free)
+    at = np.flatnonzero((count >= max(least, most // 32))[bucket] & free)
     # A bucket stands for the pair found in it last; other pairs in it wait for a later round.
     pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
     owner = np.zeros(1 << _BUCKET_BITS, np.uint64)

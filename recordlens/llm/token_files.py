@@ -108,4 +108,6 @@ def read_ids(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -
                     fields.append(("ids", pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_pydict(columns, pa.schema(fields))
 
-    return files.select("file", "start").repartition("file").mapInArrow(read, kind)
+    # A row stands for a whole file, so rows must not be gathered into few tasks for being small.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file", "start").repartition(tasks, "file").mapInArrow(read, kind)

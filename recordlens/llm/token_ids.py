@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
@@ -23,36 +24,49 @@ _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # Letters that normalising leaves as they are, then ASCII punctuation.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 _LOADED: dict[str, TokenIds] = {}
 
 
 class _Stretches(dict):
-    """Ids of stretches as bytes, worked out when first asked for."""
+    """Ids of stretches as bytes, worked out when first asked for. What was asked for before
+    the last turn is kept as the older half, so memory is bounded and frequent words stay."""
 
     def __init__(self, whole):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole, self.model = whole, whole.model
         self.to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.older: dict[bytes, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, stretch: bytes) -> bytes:
-        text = stretch.decode()
-        match = _PLAIN.fullmatch(text.lower())
-        if match and match[1]:
-            word = match[1]
-            if not word.isascii():
-                word = self.to_bytes.pre_tokenize_str(word)[0][0]
-            ids = np.array([t.id for t in self.model.tokenize(word)], np.uint16).tobytes()
-            if match[2]:
-                ids += self[match[2].encode()]
-        else:
-            found = self.whole.encode(text, add_special_tokens=False)
-            ids = np.array(found.ids, np.uint16).tobytes()
+        ids = self.older.get(stretch)
+        if ids is None:
+            if stretch.isalpha():
+                ids = self._word(stretch.lower().decode())
+            elif stretch[-1:] in b",." and stretch[:-1].isalpha():
+                ids = self[stretch[:-1]] + self[stretch[-1:]]
+            else:
+                ids = self._any(stretch.decode())
         self[stretch] = ids
         return ids
 
+    def _word(self, letters: str) -> bytes:
+        return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _any(self, text: str) -> bytes:
+        match = _PLAIN.fullmatch(text.lower())
+        if match and match[1]:
+            ids = self._word(match[1] if match[1].isascii() else self.to_bytes.pre_tokenize_str(match[1])[0][0])
+            return ids + self[match[2].encode()] if match[2] else ids
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 class TokenIds:
     def __init__(self, path: str):
@@ -75,8 +89,7 @@ class TokenIds:
         if not self.by_stretch:
             found = self.whole.encode_batch([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, np.uint32) for e in found]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
+        self.seen.turn()
         look = self.seen.__getitem__
         out = []
         for text in texts:
