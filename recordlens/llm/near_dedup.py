@@ -22,9 +22,9 @@ At a similarity of 0.75 all ``TREES`` orders miss a pair about twice in 100,000.
 Defined results: words are lower-cased (A-Z); fewer than five words are one shingle; a text
 without words has an empty set and no links; rows with a null id can join a component but
 do not name it, a component of such rows alone has a null id and all its rows are kept;
-rows that repeat an id are nodes by their text, and all rows with the smallest id are kept
-by ``near_groups`` while ``drop_near_copies`` keeps one; further columns are ignored by the
-first and carried by the second.
+rows that repeat an id are nodes by their text, and all rows of a component that have its
+smallest id are kept; further columns are ignored by ``near_groups`` and carried by
+``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -103,14 +103,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``id, n, node, values`` per document: set size, fingerprint, signature."""
-    kind = f"id {dict(docs.dtypes)['id']}, n long, node binary, forest binary, sketch binary"
+    """``id, tie, n, node, forest, sketch`` per document: set size, fingerprint, signature."""
+    kind = f"id {dict(docs.dtypes)['id']}, tie long, n long, node binary, forest binary, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
-                sets = [shingle_set(t) for t in utf8(some.column(1))]
+                sets = [shingle_set(t) for t in utf8(some.column(2))]
                 values = iter(signatures([s for s in sets if len(s)]))
                 rows = []
                 for s in sets:
@@ -121,11 +121,11 @@ def _signed(docs: DataFrame) -> DataFrame:
                         rows.append((0, None, None, None))
                 n, nodes, forest, sketch = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (nodes, forest, sketch))],
-                    ["id", "n", "node", "forest", "sketch"],
+                    [some.column(0), some.column(1), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (nodes, forest, sketch))],
+                    ["id", "tie", "n", "node", "forest", "sketch"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, kind)
+    return docs.select("id", "tie", "text").mapInArrow(run, kind)
 
 
 def _prefix(depth: int) -> Column:
@@ -303,9 +303,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
     return stored(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, ``n_shingles``, ``component_id`` and ``kept``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``id, tie, n, component_id`` of the documents ``id, tie, text``."""
     signed = stored(_signed(rows), "signatures")
     nodes = stored(
         signed.where("node IS NOT NULL").groupBy("node")
@@ -324,23 +323,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     names = named.groupBy(F.col("label").alias("of")).agg(F.min("id").alias("component_id"))
     named = named.join(names, F.col("label") == F.col("of")).select(F.col("node").alias("k"), "component_id")
     joined = signed.where("node IS NOT NULL").join(named, F.col("node") == F.col("k"), "left")
-    out = joined.select("id", "n", "component_id").unionByName(
-        signed.where("node IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    return joined.select("id", "tie", "n", "component_id").unionByName(
+        signed.where("node IS NULL").select("id", "tie", "n", F.col("id").alias("component_id"))
+    )
+
+
+def _kept() -> Column:
+    return F.col("id").eqNullSafe(F.col("component_id"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: id, ``n_shingles``, ``component_id`` and ``kept``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    return _grouped(rows).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", _kept().alias("kept")
     )
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
-    )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns.
+    """The rows of ``docs`` that stay, one id of each component, with all their columns.
 
-    Only rows whose id is among the dropped ones, by a bit map of fixed size, are shuffled."""
-    groups = stored(near_groups(docs, id_col, text), "near-groups")
-    dropped = groups.where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    key = F.xxhash64(F.col(f"`{id_col}`"))
-    rows = with_mark(docs, marks(dropped, F.xxhash64("_gone")), key, "_marked")
+    Only rows that may be among the dropped ones, by a bit map of fixed size, are shuffled."""
+    own, tie = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text}`"))
+    groups = _grouped(docs.select(own.alias("id"), tie.alias("tie"), F.col(f"`{text}`").alias("text")))
+    dropped = stored(groups.where(~_kept()).select(F.col("id").alias("_gone"), F.col("tie").alias("_as")), "near-copies")
+    rows = with_mark(docs, marks(dropped, F.xxhash64("_gone", "_as")), F.xxhash64(own, tie), "_marked")
     maybe = rows.where("_marked").drop("_marked")
-    stays = maybe.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
+    stays = maybe.join(dropped, own.eqNullSafe(F.col("_gone")) & tie.eqNullSafe(F.col("_as")), "left_anti")
     return rows.where("NOT _marked").drop("_marked").unionByName(stays)
