@@ -14,6 +14,7 @@ LABELS = ["Read", "Write", "Execute", "Destructive", "Financial", "Other"]
 # Model input and content identity use these three fields only.
 TEXT_FIELDS = ["name", "description", "input_schema"]
 
+# Column names and splits of the record files.
 ID = "record_id"
 GROUP = "server_slug"
 LABEL = "category"

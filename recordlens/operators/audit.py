@@ -24,34 +24,38 @@ from recordlens.domain import (
 )
 from recordlens.functions.schema_text import SCHEMA_STATUSES, schema_status
 from recordlens.functions.text import content_hash, field, is_blank, mentions, percent
+from recordlens.session import cut_lineage
 
-# What each reported number counts; shipped with the report.
+# The keys are fixed by the report.
 DEFINITIONS = {
-    "missing_values": "NULLs in each column of each split.",
-    "empty_text_fields": "Text values that are NULL or hold nothing but whitespace.",
+    "missing_values": "How often a column is NULL, by split; absent keys are NULL too.",
+    "empty_text_fields": "Rows by split whose text column is blank: NULL, empty or white space alone.",
     "schema_validity": (
-        "Parse result of input_schema: an object, some other JSON value, "
-        "text that is no JSON, or nothing at all."
+        "Rows by split for each outcome of reading input_schema. Blank is missing; two values, "
+        "or none that parses, is malformed; arrays, numbers, strings and the like are non_object."
     ),
     "exact_duplicates": (
-        "Content is the SHA-256 of name, description and input_schema. Within a split, "
-        "all rows of a content group but one are duplicates; across splits, content "
-        "groups found on both sides are counted."
+        "Rows are equal if the SHA-256 over their three text columns is. A split counts its rows "
+        "less its distinct hashes; a pair of splits counts the hashes it has in common."
     ),
     "literal_category_occurrences": (
-        "Training rows whose field contains the label word, ignoring case."
+        "Per text column or group, and per label: train rows that have the label in them, "
+        "as part of a word or not, in upper or lower case."
     ),
-    "exact_category_tool_names": "Training rows whose name, lower-cased, is the label word.",
+    "exact_category_tool_names": "Per label: train rows named exactly like it but for case.",
     "near_duplicates": (
-        "Training rows with another training row at TF-IDF cosine similarity 0.9 or more."
+        "Train rows for which some further train row has a cosine of at least {threshold}, "
+        "both as TF-IDF vectors of words and word pairs."
     ),
 }
 
 NOT_EVALUABLE = "The test split has no labels to compare."
 
 
-def definitions(spark) -> DataFrame:
-    return spark.createDataFrame(list(DEFINITIONS.items()), "metric string, definition string")
+def definitions(spark, threshold: float = 0.9) -> DataFrame:
+    """What each reported number counts."""
+    rows = [(name, text.format(threshold=threshold)) for name, text in DEFINITIONS.items()]
+    return spark.createDataFrame(rows, "metric string, definition string")
 
 
 def audited_columns(df: DataFrame) -> list[str]:
@@ -69,6 +73,60 @@ def _long(df: DataFrame, keys: Sequence[str], names: Sequence[str], name: str) -
     return df.select(*keys, F.explode(pairs).alias("_e")).select(*keys, f"_e.{name}", "_e.n")
 
 
+def _mention_cells(fields: Sequence[str], labels: Sequence[str]) -> list[tuple[str, str]]:
+    return [(f, label) for f in fields for label in labels]
+
+
+class RowCounts:
+    """Every count that looks at one row at a time, for all splits, from one pass.
+
+    ``wide`` has a row per split and is written once; the tables only rename its columns.
+    """
+
+    def __init__(self, df: DataFrame, labels: Sequence[str] = LABELS, train: str = "train"):
+        self.columns, self.labels, self.train = audited_columns(df), list(labels), train
+        self.cells = _mention_cells((*TEXT_FIELDS, GROUP), labels)
+        status = schema_status(F.col("input_schema"), is_blank(F.col("input_schema")))
+        lowered = F.lower(field(F.col("name")))
+        rows = df.withColumn("_status", status)
+        counts = {"rows": F.count(F.lit(1))}
+        counts |= {f"null {c}": F.count_if(F.col(c).isNull()) for c in self.columns}
+        counts |= {f"blank {c}": F.count_if(is_blank(F.col(c))) for c in TEXT_FIELDS}
+        counts |= {f"status {s}": F.count_if(F.col("_status") == s) for s in SCHEMA_STATUSES}
+        counts |= {f"mention {f} {x}": F.count_if(mentions(F.col(f), x)) for f, x in self.cells}
+        counts |= {f"named {x}": F.count_if(lowered == x.lower()) for x in labels}
+        self.wide = cut_lineage(rows.groupBy("split").agg(*[c.alias(n) for n, c in counts.items()]))
+
+    def _table(self, prefix: str, names: Sequence[str], column: str) -> DataFrame:
+        wide = self.wide.select("split", *[F.col(f"`{prefix} {n}`").alias(n) for n in names])
+        return _long(wide, ["split"], list(names), column)
+
+    def sizes(self) -> DataFrame:
+        return self.wide.select("split", F.col("rows").alias("n"))
+
+    def missing_values(self) -> DataFrame:
+        return self._table("null", self.columns, "column")
+
+    def empty_text_fields(self) -> DataFrame:
+        return self._table("blank", TEXT_FIELDS, "column")
+
+    def schema_validity(self) -> DataFrame:
+        return self._table("status", SCHEMA_STATUSES, "status")
+
+    def literal_mentions(self) -> DataFrame:
+        cells = F.array(
+            *[
+                F.struct(F.lit(f).alias("field"), F.lit(x).alias("label"), F.col(f"`mention {f} {x}`").alias("n"))
+                for f, x in self.cells
+            ]
+        )
+        own = self.wide.filter(F.col("split") == self.train)
+        return own.select(F.explode(cells).alias("c")).select("c.*")
+
+    def exact_name_labels(self) -> DataFrame:
+        return self._table("named", self.labels, "label").filter(F.col("split") == self.train).drop("split")
+
+
 def dataset_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -91,16 +149,21 @@ def rows_after_first(df: DataFrame, key: str, by: str = "split") -> DataFrame:
     return groups.groupBy(by).agg(F.sum(F.col("n") - 1).alias("n"))
 
 
-def later_copies(df: DataFrame, key: str, id_col: str = ID) -> DataFrame:
-    """Flag every row that is not the first (lowest id) of its key.
+def later_copies(df: DataFrame, key: str, id_col: str = ID, by: str = "split") -> DataFrame:
+    """Flag every row that is not the first of its key in its split; NULL keys are equal.
 
-    The first ids come from an aggregate and are joined back on the unique id,
-    so a hot key never gathers in one task.
+    First is the lowest id, NULL after all others; of rows that repeat it, one. Rows get
+    a number of their own, and the first rows, found by an aggregate, are joined back on
+    it, so neither a hot key nor a repeated id gathers or multiplies rows.
     """
-    firsts = df.groupBy(key).agg(F.min(id_col).alias(id_col)).select(id_col, F.lit(False).alias("_d"))
-    return df.join(firsts, id_col, "left").withColumn(
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")
+    firsts = rows.groupBy(by, key).agg(F.min(order).alias("f")).select(
+        F.col("f._row").alias("_row"), F.lit(False).alias("_d")
+    )
+    return rows.join(firsts, "_row", "left").withColumn(
         "is_duplicate", F.coalesce("_d", F.lit(True))
-    ).drop("_d")
+    ).drop("_d", "_row")
 
 
 def schema_validity(df: DataFrame, column: str = "input_schema") -> DataFrame:

@@ -35,10 +35,8 @@ def check_contract(
     """Raise on the first broken rule: row count, unique ids, labels in the domain."""
     found = contract_report(output, labels, id_col, label).first()
     if found["n_rows"] != n_input:
-        raise RuntimeError(
-            f"Prediction count {found['n_rows']} does not match input count {n_input}."
-        )
+        raise RuntimeError(f"{n_input} records went in and {found['n_rows']} predictions came out")
     if found["n_repeated_ids"]:
-        raise ValueError("Duplicate record_id values detected.")
+        raise ValueError(f"{id_col} repeats in {found['n_repeated_ids']} rows")
     if found["n_invalid_labels"]:
-        raise ValueError(f"Invalid predictions detected: {found['n_invalid_labels']}")
+        raise ValueError(f"{found['n_invalid_labels']} rows have a {label} outside the label domain")

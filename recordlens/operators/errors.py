@@ -41,6 +41,22 @@ FAILURE_MODES = [
 ]
 
 
+# What each named confusion looks like.
+MODE_DESCRIPTIONS = {
+    "Read vs Write ambiguity": (
+        "Records that only return something and records that change something are taken for "
+        "each other: the text speaks of results, and whether state changes is left unsaid."
+    ),
+    "Execute vs Read/Write ambiguity": (
+        "Records that run something are told by their verbs, which reading and writing share. "
+        "Some could carry either label."
+    ),
+    "Minority-class collapse": (
+        "Labels with few training rows lose theirs to the large labels, class weights or not."
+    ),
+}
+
+
 def misclassified(
     scored: DataFrame, actual: str = "actual_category", predicted: str = "predicted_category"
 ) -> DataFrame:

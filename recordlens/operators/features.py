@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recordlens.functions.text import with_bigrams, words
-from recordlens.session import BROADCAST_ROW_LIMIT, cut_lineage, shuffle_width
+from recordlens.session import broadcast_if_small, cut_lineage
 
 
 def grams(df: DataFrame, text: str, *keep: str, bigrams: bool = True) -> DataFrame:
@@ -48,25 +48,23 @@ def smooth_idf(df: Column, n_docs: Column) -> Column:
 def most_frequent_terms(stats: DataFrame, max_features: int) -> DataFrame:
     """The ``max_features`` terms with the highest corpus count, ties by term.
 
-    A histogram of the counts gives the count at the cut. Every term above it
-    stays, and only the terms exactly at it are ranked, so the full term table
-    is never sorted or sent to one task. The histogram has one row per distinct
-    count, which grows at most with the square root of the corpus.
+    A histogram of the counts gives the count at the cut, one row for the driver.
+    Every term above it stays, and of the terms exactly at it the first by name:
+    a sort with a known limit, which each task applies to its own rows first. The
+    histogram has one row per distinct count, which grows at most with the square
+    root of the corpus. ``stats`` is read several times.
     """
     histogram = stats.groupBy("ctf").agg(F.count(F.lit(1)).alias("n"))
     falling = Window.orderBy(F.desc("ctf"))
     running = histogram.withColumn("upto", F.sum("n").over(falling))
     # First count whose running total reaches the limit, and how many terms lie above it.
-    at_limit = running.filter(F.col("upto") >= max_features).agg(
+    cut = running.filter(F.col("upto") >= max_features).agg(
         F.max("ctf").alias("ctf"), F.max_by(F.col("upto") - F.col("n"), "ctf").alias("above")
-    )
-    cut = at_limit.select(F.when(F.col("ctf").isNotNull(), F.struct("ctf", "above"))).scalar()
-    above = stats.filter(cut.isNull() | (F.col("ctf") > cut["ctf"]))
-    ranked = stats.filter(F.col("ctf") == cut["ctf"]).withColumn(
-        "rank", F.row_number().over(Window.orderBy("term"))
-    )
-    at_cut = ranked.filter(F.col("rank") <= max_features - cut["above"]).drop("rank")
-    return above.unionByName(at_cut)
+    ).first()
+    if cut["ctf"] is None:
+        return stats
+    at_cut = stats.filter(F.col("ctf") == cut["ctf"]).orderBy("term").limit(max_features - cut["above"])
+    return stats.filter(F.col("ctf") > cut["ctf"]).unionByName(at_cut)
 
 
 def fit_vocabulary(
@@ -77,8 +75,8 @@ def fit_vocabulary(
     bigrams: bool = True,
 ) -> DataFrame:
     """Fitted vocabulary ``(term, df, ctf, idf, ix)``; ``ix`` counts from the rarest term."""
-    if not 0 < max_features <= BROADCAST_ROW_LIMIT:
-        raise ValueError(f"max_features must be between 1 and {BROADCAST_ROW_LIMIT}")
+    if max_features < 1:
+        raise ValueError("max_features must be positive")
     # Read several times below, so it is written once; the tokenizer runs once.
     stats = cut_lineage(term_statistics(df, text, bigrams).filter(F.col("df") >= min_df))
     kept = most_frequent_terms(stats, max_features)
@@ -103,14 +101,14 @@ def tfidf_entries(
     Terms outside the vocabulary drop out; a document without any keeps an
     empty array. Texts are partitioned by key once, before they are taken apart:
     the broadcast join keeps that partitioning, so terms are counted and gathered
-    by key without a second shuffle. The vocabulary is bounded by ``max_features``.
+    by key without a second shuffle. The vocabulary is broadcast if its measured
+    size allows it, and joined by shuffle beyond that.
     """
-    source = df.select(key, text)
-    by_key = source.repartition(shuffle_width(source), key)
+    by_key = df.select(key, text).repartition(key)
     terms = grams(by_key, text, key, bigrams=bigrams)
     rows = terms.select(key, F.explode_outer("terms").alias("term"))
-    small = F.broadcast(vocabulary.select("term", "ix", "idf"))
-    found = rows.join(small, "term", "left")
+    known = broadcast_if_small(vocabulary.select("term", "ix", "idf"), F.octet_length("term"))
+    found = rows.join(known, "term", "left")
     counted = found.groupBy(key, "ix").agg(
         F.count(F.lit(1)).cast("int").alias("tf"), F.first("idf").alias("idf")
     )

@@ -34,11 +34,14 @@ def score(
     scorer = predict_batch_udf(
         loader, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )
-    # The text is read twice, so the optimizer computes it below the scorer
-    # instead of copying its lambdas into the scorer's arguments.
+    # A Python function sees every row whatever stands around it, so NULL texts go in as
+    # empty ones and lose their logits afterwards. The text is read twice, so the
+    # optimizer computes it below the scorer instead of copying its lambdas.
     present = F.col("_text").isNotNull()
-    logits = df.withColumn("_text", text).withColumn(
-        "_logits", F.when(present, scorer("_text"))
+    logits = (
+        df.withColumn("_text", text)
+        .withColumn("_scored", scorer(F.coalesce("_text", F.lit(""))))
+        .withColumn("_logits", F.when(present, F.col("_scored")))
     )
     return logits.select(
         *df.columns,

@@ -5,14 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# A broadcast must fit every executor with room to spare.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-# Input bytes per shuffle partition, and the estimate above which nothing is known.
-PARTITION_BYTES = 128 * 1024 * 1024
-_UNKNOWN_SIZE = 1 << 50
+# A table is broadcast only if its rows, as measured, stay below this.
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -25,6 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -61,11 +59,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def shuffle_width(df: DataFrame) -> int:
-    """Partitions for a shuffle of ``df``: the configured number, or more when the
-    planner's size estimate says that many would be too large to hold."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > _UNKNOWN_SIZE:
-        return configured
-    return max(configured, -(-size // PARTITION_BYTES))
+def broadcast_if_small(df: DataFrame, payload: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its measured size allows it; else it joins by shuffle.
+
+    ``payload`` is the byte size of a row's variable part. ``df`` should be cheap to read.
+    """
+    size = df.agg(F.sum(payload.cast("long") + F.lit(64))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df

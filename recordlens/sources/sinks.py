@@ -82,10 +82,21 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_models(models: Mapping[str, LogisticRegressionModel], path: str) -> None:
-    """One fitted model per label below ``path``."""
-    for label, model in models.items():
-        model.write().overwrite().save(f"{path}/{label}")
+    """One fitted model per label below ``path``, and the list of the labels that have one."""
+    for i, model in enumerate(models.values()):
+        model.write().overwrite().save(f"{path}/{i}")
+    spark = SparkSession.active()
+    listed = spark.createDataFrame(list(enumerate(models)), "i int, label string")
+    listed.coalesce(1).write.mode("overwrite").json(f"{path}/labels")
 
 
-def load_models(labels: Sequence[str], path: str) -> dict[str, LogisticRegressionModel]:
-    return {label: LogisticRegressionModel.load(f"{path}/{label}") for label in labels}
+def load_models(spark: SparkSession, path: str) -> dict[str, LogisticRegressionModel]:
+    """The stored models by label, in the order they were saved."""
+    listed = spark.read.schema("i int, label string").json(f"{path}/labels").orderBy("i").collect()
+    return {row["label"]: LogisticRegressionModel.load(f"{path}/{row['i']}") for row in listed}
+
+
+def stored_megabytes(spark: SparkSession, path: str) -> float:
+    """Size of everything stored below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return (files.agg(F.sum("length")).first()[0] or 0) / (1024 * 1024)

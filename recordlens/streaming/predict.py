@@ -1,7 +1,8 @@
 """Prediction over arriving JSONL files: the batch scorer on a stream.
 
-Scoring is per row, so it needs no state, window or watermark. The contract is
-checked per micro-batch before that batch is written.
+Scoring is per row, so it needs no state, window or watermark. Columns and contract
+are checked per micro-batch before that batch is written; an id that comes again in a
+later batch is a later file's and passes.
 """
 
 from __future__ import annotations
@@ -11,16 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from recordlens.domain import LABELS, RECORD_SCHEMA
+from recordlens.domain import LABELS, SCORING_COLUMNS
 from recordlens.operators.contracts import check_contract
 from recordlens.operators.scoring import Loader
 from recordlens.plans.predict import predict
 from recordlens.session import cut_lineage
+from recordlens.sources.records import check_keys, parse_lines
 from recordlens.sources.sinks import write_predictions
 
 
-def stream_records(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(RECORD_SCHEMA).option("mode", "FAILFAST").json(folder)
+def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.text(folder)
 
 
 def predict_stream(
@@ -35,13 +37,16 @@ def predict_stream(
     so a batch replayed after a failure overwrites itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = cut_lineage(batch)
+        if batch.isEmpty():
+            return
+        check_keys(batch, SCORING_COLUMNS)
+        rows = cut_lineage(parse_lines(batch))
         output = cut_lineage(predict(rows, loader, labels))
         check_contract(output, rows.count(), labels)
         write_predictions(output, f"{target}/batch={batch_id}")
 
     return (
-        stream_records(spark, folder)
+        stream_lines(spark, folder)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -165,12 +165,32 @@ def duplicates_within_split(spark, sf_dir):
 
 @query(
     "later_copies",
-    f"WITH {DOCUMENT_RECORDS}, {_HASHED} SELECT record_id, content_hash, "
-    "row_number() OVER (PARTITION BY content_hash ORDER BY record_id) > 1 AS is_duplicate FROM hashed",
+    f"WITH {DOCUMENT_RECORDS}, {_HASHED} SELECT record_id, split, content_hash, "
+    "row_number() OVER (PARTITION BY split, content_hash ORDER BY record_id) > 1 AS is_duplicate FROM hashed",
 )
 def later_copies(spark, sf_dir):
     records = audit.with_content_hash(document_records(spark, sf_dir))
-    return audit.later_copies(records.select("record_id", "content_hash"), "content_hash")
+    return audit.later_copies(records.select("record_id", "split", "content_hash"), "content_hash")
+
+
+@query(
+    "later_copies_of_repeated_ids",
+    """WITH rows AS (SELECT CASE WHEN l_linenumber <> 7 THEN CAST(l_orderkey % 500 AS VARCHAR) END AS record_id,
+        CASE WHEN l_quantity >= 3 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS k, l_returnflag AS split FROM lineitem),
+    flagged AS (SELECT *, row_number() OVER (PARTITION BY split, k ORDER BY record_id NULLS LAST) > 1 AS d FROM rows)
+    SELECT split, k, record_id, count(*) AS n, count(*) FILTER (d) AS n_duplicate FROM flagged GROUP BY ALL""",
+)
+def later_copies_of_repeated_ids(spark, sf_dir):
+    """Ids that repeat within and across splits, NULL ids and NULL keys."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") != 7, (F.col("l_orderkey") % 500).cast("string")).alias("record_id"),
+        F.when(F.col("l_quantity") >= 3, F.col("l_quantity").cast("long").cast("string")).alias("k"),
+        F.col("l_returnflag").alias("split"),
+    )
+    flagged = audit.later_copies(rows, "k")
+    return flagged.groupBy("split", "k", "record_id").agg(
+        F.count("*").alias("n"), F.count_if("is_duplicate").alias("n_duplicate")
+    )
 
 
 _STATUS = """

@@ -5,15 +5,9 @@ Each view exists twice: as a DataFrame and as the SQL CTE of the same name.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A larger file has enough row groups to be read in parallel.
-_SMALL_FILE = 128 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,13 +21,11 @@ def _sql(columns: dict[str, str], source: str) -> str:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table for CPU-heavy work. A small single file is one task's worth of
-    input, so its rows are dealt out to all cores first; larger inputs are not."""
+    """A text table for CPU-heavy work. One that Spark would read in fewer tasks than it
+    has cores is dealt out to all of them first."""
     df = table(spark, sf_dir, name)
-    path = Path(f"{sf_dir}/{name}.parquet")
-    if path.is_file() and path.stat().st_size < _SMALL_FILE:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _split(number: Column, train: int, validation: int) -> Column:

@@ -43,6 +43,17 @@ def test_duplicates_and_conflicts(sample):
     assert flags == {"1": False, "2": True, "3": True, "4": False, "5": False, "6": True}
 
 
+def test_later_copies_with_repeated_and_null_ids(spark):
+    rows = [("a", "h1", "train"), ("a", "h1", "train"), ("a", "h2", "train"), ("a", "h2", "test"),
+            (None, "h3", "train"), (None, "h1", "train"), ("b", None, "train"), ("a", None, "train")]
+    df = spark.createDataFrame(rows, "record_id string, k string, split string")
+    got = sorted((str(r["record_id"]), str(r["k"]), r["split"], r["is_duplicate"]) for r in audit.later_copies(df, "k").collect())
+    assert got == sorted([
+        ("a", "h1", "train", False), ("a", "h1", "train", True), ("a", "h2", "train", False), ("a", "h2", "test", False),
+        ("None", "h3", "train", False), ("None", "h1", "train", True), ("b", "None", "train", True), ("a", "None", "train", False),
+    ])
+
+
 def test_ids_and_groups(sample):
     assert rows_of(audit.rows_after_first(sample, "record_id")) == [
         ("test", 1), ("train", 0), ("validation", 0)
@@ -83,5 +94,14 @@ def test_report(spark, sample, tmp_path):
     assert document["near_duplicate_summary"] == [{"near_duplicate_records": 6, "percentage": 100.0}]
     first = document["near_duplicate_examples"][0]
     assert (first["record_id_a"], first["record_id_b"], first["similarity"]) == ("1", "2", 1.0)
+    assert [r["finding"].split()[0] for r in document["interpretation"]] == ["A", "50.00%", "server_slug", "Splits"]
+    assert document["near_duplicate_method"]["threshold"] == 0.9 and "stay" in document["near_duplicate_note"]
+    by_field = {(r["field"], r["label"]): r["n"] for r in document["literal_mentions"]}
+    assert by_field["name", "Read"] == 4 and by_field["name", "Write"] == 2 and by_field["server_slug", "Read"] == 0
+    assert {r["label"]: r["n"] for r in document["exact_name_labels"]}["Write"] == 2
+    assert {(r["split"], r["status"]): r["n"] for r in document["schema_validity"]}["train", "missing"] == 2
+    assert {(r["split"], r["column"]): r["n"] for r in document["empty_text_fields"]}["train", "description"] == 2
+    assert {(r["split"], r["column"]): r["n"] for r in document["missing_values"]}["train", "server_slug"] == 1
+    assert "0.9" in {r["metric"]: r["definition"] for r in document["definitions"]}["near_duplicates"]
     write_audit(sample.filter("record_id <> '9'"), str(tmp_path / "audit"))
     assert spark.read.text(str(tmp_path / "audit")).count() == 1

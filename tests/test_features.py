@@ -120,6 +120,17 @@ def test_top_rows_below_the_threshold(spark):
     assert got == sorted((-s, i, j) for i, (j, s) in every.items())[:5]
 
 
+def test_top_rows_with_nothing_in_common(spark):
+    texts = [f"only{i} here{i}" for i in range(28)] + ["same words", "same words too"]
+    found = neighbors.nearest_for_top(frame(spark, texts), "id", "text", k=20)
+    got = sorted((-x["similarity"], x["id"], x["other"]) for x in found.collect())
+    every = sorted((-s, i, j) for i, (j, s) in python_neighbors(texts, threshold=0.0).items())
+    assert got == every[:20] and got[-1][0] == 0.0
+    few = frame(spark, ["a b", "c d"])
+    assert sorted(map(tuple, neighbors.nearest_for_top(few, "id", "text").collect())) == [(0, 1, 0.0), (1, 0, 0.0)]
+    assert neighbors.nearest_for_top(few.limit(1), "id", "text").count() == 0
+
+
 def test_join_hot_keys_keeps_every_row(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     lookup = rows.select("k").distinct().withColumn("v", F.col("k") * 2)

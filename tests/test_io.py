@@ -1,10 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordlens.domain import LABELS
 from recordlens.operators import contracts
-from recordlens.operators.scoring import letter_share_scorer
+from recordlens.operators.scoring import letter_share_scorer, score
 from recordlens.plans import evaluate as E
 from recordlens.plans.predict import predict_file
 from recordlens.sources import records as R
@@ -32,10 +33,36 @@ def test_jsonl_skips_blank_lines_and_fails_on_bad_ones(spark, tmp_path):
         R.read_jsonl(spark, bad).collect()
 
 
-def test_required_columns(spark):
-    df = spark.createDataFrame([("1", "n")], "record_id string, name string")
-    with pytest.raises(ValueError, match=r"\['description', 'input_schema'\]"):
-        R.require_columns(df, ["record_id", "name", "description", "input_schema"])
+def test_missing_columns_stop_a_prediction(spark, tmp_path):
+    source = write_lines(tmp_path / "in.jsonl", [{"record_id": "1", "name": "n"}, {"record_id": "2", "other": 1}])
+    with pytest.raises(ValueError, match="description, input_schema"):
+        predict_file(spark, source, str(tmp_path / "out"), letter_share_scorer("abcdef"))
+    assert not (tmp_path / "out").exists()
+    empty = write_lines(tmp_path / "empty.jsonl", [])
+    with pytest.raises(ValueError, match="record_id"):
+        predict_file(spark, empty, str(tmp_path / "out"), letter_share_scorer("abcdef"))
+    # One line that has a key is enough.
+    some = write_lines(tmp_path / "some.jsonl", [{"record_id": "1"}, *rows(2)])
+    R.check_keys(R.read_lines(spark, some), ["record_id", "name", "description", "input_schema"])
+
+
+def test_missing_columns_stop_a_stream(spark, tmp_path):
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    write_lines(folder / "a.jsonl", [{"record_id": "1", "name": "n"}])
+    query = predict_stream(
+        spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ckpt"), letter_share_scorer("abcdef")
+    )
+    with pytest.raises(Exception, match="description, input_schema"):
+        query.awaitTermination(120)
+    assert not (tmp_path / "out").exists()
+
+
+def test_null_texts_are_scored_as_nothing(spark):
+    df = spark.createDataFrame([("1", "aab"), ("2", None)], "id string, t string")
+    got = {r["id"]: r for r in score(df, letter_share_scorer("abcdef"), F.col("t")).collect()}
+    assert got["1"]["predicted_category"] == "Read"
+    assert got["2"]["predicted_category"] is None and got["2"]["confidence"] is None
 
 
 def test_union_fills_the_missing_label(spark):
@@ -61,10 +88,10 @@ def test_predictions_keep_input_order(spark, tmp_path):
 @pytest.mark.parametrize(
     "output, n, error",
     [
-        ([("1", "Read"), ("1", "Read")], 2, "Duplicate record_id"),
-        ([("1", "Read"), ("2", "read")], 2, "Invalid predictions detected: 1"),
-        ([("1", "Read"), ("2", None)], 2, "Invalid predictions detected: 1"),
-        ([("1", "Read")], 2, "does not match"),
+        ([("1", "Read"), ("1", "Read")], 2, "record_id repeats in 1 rows"),
+        ([("1", "Read"), ("2", "read")], 2, "1 rows have a category outside"),
+        ([("1", "Read"), ("2", None)], 2, "1 rows have a category outside"),
+        ([("1", "Read")], 2, "2 records went in and 1 predictions"),
     ],
 )
 def test_contract(spark, output, n, error):
@@ -76,7 +103,7 @@ def test_contract(spark, output, n, error):
 def test_broken_contract_writes_nothing(spark, tmp_path):
     data = rows(5) + rows(1)
     source = write_lines(tmp_path / "in.jsonl", data)
-    with pytest.raises(ValueError, match="Duplicate"):
+    with pytest.raises(ValueError, match="repeats"):
         predict_file(spark, source, str(tmp_path / "out"), letter_share_scorer("abcdef"))
     assert not (tmp_path / "out").exists()
 
@@ -118,6 +145,7 @@ def test_evaluation_outputs(spark, records, tmp_path):
     assert {r["description"] for r in wrong.collect()} == {text}
     report = json.loads(spark.read.text(f"{out}/error_analysis").first()[0])
     assert report["validation_error_count"] == n_wrong and len(report["examples"]) <= 8
+    assert all(report["failure_mode_descriptions"].values()) and "4 errors" in report["example_selection"]
     assert spark.read.option("header", True).csv(f"{out}/confusion").columns[1] == "Predicted_Read"
 
 
