@@ -108,11 +108,29 @@ def _guessed_kind(raw: Column) -> Column:
     )
 
 
+# Control, format, unassigned and separator characters, but for the space.
+_UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def _escape(char: Column) -> Column:
+    code = F.ascii(char)
+    digits = F.lower(F.hex(code))
+    return (
+        F.when(~F.rlike(char, F.lit(_UNPRINTABLE)), char)
+        .when(code < 0x100, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0")))
+        .when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0")))
+        .otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
+    )
+
+
 def _quoted(text: Column) -> Column:
     """A string the way Python lists show it."""
     body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = F.replace(body, F.lit(char), F.lit(shown))
+    body = F.when(
+        F.rlike(body, F.lit(_UNPRINTABLE)), F.array_join(F.transform(F.split(body, ""), _escape), "")
+    ).otherwise(body)
     single = F.contains(text, F.lit("'"))
     double = F.contains(text, F.lit('"'))
     return (

@@ -35,6 +35,12 @@ PROSE = [
         "Parameters:\n- e: unknown (optional) — allowed values: "
         "[2.0, \"it's\", 'q\"x', {'k': [1]}]",
     ),
+    # What Python cannot print is escaped.
+    (
+        '{"properties":{"e":{"enum":["a\u00a0b\\u0007\u2028é \\n",{"k":"\u200b"}]}}}',
+        "Parameters:\n- e: unknown (optional) — allowed values: "
+        + str(["a\u00a0b\u0007\u2028é \n", {"k": "\u200b"}]),
+    ),
     # A repeated key keeps its first place and its last value.
     (
         '{"properties":{"p":{"type":"a"},"q":{},"p":{"type":"b"}}}',
