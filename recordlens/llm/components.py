@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     so long chains shorten by half; rounds end when no label changes. Sums and minima are
     combined before the shuffle, and a node with many links is never one task's work.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.explode(ends).alias("e")).select("e.a", "e.b")
     edges = stored(both.distinct(), "links")
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
                     .select("node", F.least("node", "label").alias("label")), "labels")
