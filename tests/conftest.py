@@ -9,10 +9,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from recordlens.session import local_session
 
-    session = local_session("4", 4)
+    shared = f"file://{tmp_path_factory.mktemp('shared')}"
+    session = local_session("4", 4, **{"spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
