@@ -8,8 +8,9 @@ anchors wherever they stand. Consecutive windows with one anchor place form a st
 
 1. Anchors are counted; a bit map of fixed size keeps those that may occur twice, and only
    their stretches go on.
-2. Equal stretches are grouped with map-side combining, so a passage in a third of all
-   documents is a few rows per task. All but the first of them are removed whole.
+2. Equal stretches, by a 128-bit digest of their words, are grouped with map-side combining,
+   so a passage in a third of all documents is a few rows per task. All but the first of
+   them are removed whole.
 3. The first ones are dealt out by anchor: each group is a reference shard, whose suffix
    automaton grows in order of first occurrence. Each stretch is streamed through it for
    matching statistics, and maximal spans of at least ``window`` words are removed.
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,23 +155,26 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     at = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays(
                         [some.column(0).take(at), some.column(1).take(at), pa.array(np.concatenate(keys).view(np.int64)),
-                         pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts)), pa.array(texts, pa.binary())],
-                        ["id", "tie", "anchor", "start", "n", "words"],
+                         pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts)), pa.array(texts, pa.binary()),
+                         pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())],
+                        ["id", "tie", "anchor", "start", "n", "words", "digest"],
                     )
 
     id_kind = dict(docs.dtypes)["id"]
     counted = docs.select("text").mapInArrow(anchors, "anchor long, n long")
     repeated = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     found = docs.select("id", "tie", "text").mapInArrow(
-        cut, f"id {id_kind}, tie long, anchor long, start long, n long, words binary"
+        cut, f"id {id_kind}, tie long, anchor long, start long, n long, words binary, digest binary"
     )
     found = with_mark(found, marks(repeated, F.xxhash64("anchor")), F.xxhash64("anchor"), "again")
     found = stored(found.where("again").drop("again"), "stretches")
 
     order = F.struct("id", "tie", "start", "n")
     distinct = stored(
-        found.groupBy("anchor", "words").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "distinct-stretches"
-    )
+        found.groupBy("anchor", "digest")
+        .agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("words").alias("words")),
+        "distinct-stretches",
+    )
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, automaton, held = None, None, None
@@ -204,9 +209,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .repartition("anchor").sortWithinPartitions("anchor", "id", "tie", "start")
     )
     partly = shards.mapInArrow(match, f"id {id_kind}, tie long, begin long, end long")
-    copied = distinct.where("copies > 1").select(F.col("anchor").alias("a"), F.col("words").alias("w"), "first")
+    copied = distinct.where("copies > 1").select(F.col("digest").alias("d"), "first")
     wholly = (
-        found.join(copied, (F.col("anchor") == F.col("a")) & (F.col("words") == F.col("w")))
+        found.drop("anchor", "words").join(copied, F.col("digest") == F.col("d"))
         .where(~F.col("first").eqNullSafe(order))
         .select("id", "tie", F.col("start").alias("begin"), (F.col("start") + F.col("n") + window - 1).alias("end"))
     )
