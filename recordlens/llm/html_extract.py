@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlens.llm.store import stored
 from recordlens.llm.token_ids import utf8
 
 _TOKEN = re.compile(
@@ -95,6 +96,7 @@ class _Element:
                 or role in _FURNITURE_ROLES
                 or found.get("aria-hidden", "").lower() == "true"
                 or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
+                or "hidden" in found
                 or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub("", attributes)))
             )
         )
@@ -246,6 +248,9 @@ def extract(
         votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
         .groupBy(F.col("host").alias("voting")).agg(F.max_by("path", F.struct(F.round("score", 6), "path")).alias("path"))
     )
+    # Written, so that both sides of the join are plain shuffles and Spark can split a host
+    # that has a large share of the pages.
+    winners = stored(winners, "winning-paths")
     joined = rows.join(winners.hint("shuffle_hash"), F.col("host") == F.col("voting"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
