@@ -104,7 +104,7 @@ class Shard:
 
 def compress(
     keys: list[int | None], documents: list[np.ndarray], end_id: int, terminals: int,
-    max_rules: int = 16_000, least: int = 12, rounds: int = 5,
+    max_rules: int = 16_000, least: int = 12, rounds: int = 4,
 ) -> Shard:
     """One shard from documents that each end with ``end_id``; all ids are below ``terminals``."""
     n_ids = np.array([len(d) for d in documents], np.int64)
@@ -139,32 +139,45 @@ def _replace(symbols, end_id, next_symbol, room, least):
     if len(symbols) < 2 or room <= 0:
         return none
     left, right = symbols[:-1], symbols[1:]
-    bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BUCKET_BITS)
-    free = left != end_id
-    count = np.bincount(bucket[free], minlength=1 << _BUCKET_BITS)
+    hashed = left * np.uint32(0x9E3779B1)
+    hashed += right * np.uint32(0x85EBCA6B)
+    hashed >>= np.uint32(32 - _BUCKET_BITS)
+    bucket = hashed.astype(np.int64)
+    # Pairs that start with the end id go to a bucket of their own, which is never used.
+    bucket[left == end_id] = 1 << _BUCKET_BITS
+    count = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
+    count[-1] = 0
     most = int(count.max())
     if most < least:
         return none
-    at = np.flatnonzero((count >= max(least, most // 32))[bucket] & free)
+    at = np.flatnonzero((count >= max(least, most // 32)).take(bucket))
     # A bucket stands for the pair found in it last; other pairs in it wait for a later round.
-    pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-    owner = np.zeros(1 << _BUCKET_BITS, np.uint64)
-    owner[bucket[at]] = pair
-    at = at[owner[bucket[at]] == pair]
+    own = bucket.take(at)
+    pair = symbols.take(at).astype(np.uint64)
+    pair <<= np.uint64(32)
+    pair |= symbols.take(at + 1)
+    owner = np.zeros(len(count), np.uint64)
+    owner[own] = pair
+    same = owner.take(own) == pair
+    at, own = at[same], own[same]
     # In a run of neighbouring places, every second one is replaced.
     new_run = np.diff(at, prepend=-2) != 1
-    run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-    at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-    used = np.bincount(bucket[at], minlength=1 << _BUCKET_BITS)
+    places = np.arange(len(at))
+    run_start = np.maximum.accumulate(np.where(new_run, places, 0))
+    second = ((places - run_start) & 1) == 0
+    at, own = at[second], own[second]
+    used = np.bincount(own, minlength=len(count))
     chosen = np.flatnonzero(used >= max(4, least // 3))
     chosen = chosen[np.argsort(-used[chosen], kind="stable")][:room]
     if not len(chosen):
         return none
-    symbol = np.zeros(1 << _BUCKET_BITS, np.uint32)
+    symbol = np.zeros(len(count), np.uint32)
     symbol[chosen] = next_symbol + np.arange(len(chosen), dtype=np.uint32)
-    at = at[symbol[bucket[at]] > 0]
+    new = symbol.take(own)
+    taken = new > 0
+    at = at[taken]
     out = symbols.copy()
-    out[at] = symbol[bucket[at]]
+    out[at] = new[taken]
     keep = np.ones(len(symbols), bool)
     keep[at + 1] = False
     pairs = owner[chosen]
