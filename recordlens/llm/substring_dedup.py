@@ -71,9 +71,14 @@ class Automaton:
 
     def matches(self, words: list[bytes], least: int) -> list[list[int]]:
         """Maximal spans of at least ``least`` words that occur in the texts so far."""
+        return self.known(words, least)[0]
+
+    def known(self, words: list[bytes], least: int) -> tuple[list[list[int]], int]:
+        """The spans of ``matches``, and how many windows of ``least`` words occur. Spans that
+        overlap are one, so a text they cover can still have windows that are new."""
         nexts, link, length = self.nexts, self.link, self.length
         spans: list[list[int]] = []
-        state = matched = 0
+        state = matched = windows = 0
         for at, word in enumerate(words):
             while state and word not in nexts[state]:
                 state = link[state]
@@ -82,12 +87,13 @@ class Automaton:
                 state = nexts[state][word]
                 matched += 1
             if matched >= least:
+                windows += 1
                 start = at + 1 - matched
                 if spans and start <= spans[-1][1]:
                     spans[-1][1] = at + 1
                 else:
                     spans.append([start, at + 1])
-        return spans
+        return spans, windows
 
     def add(self, words: list[bytes]) -> None:
         self.texts += 1
@@ -189,12 +195,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if automaton is None:
                     automaton = Automaton()
                     automaton.add(held)
-                spans = automaton.matches(words, window)
+                spans, seen = automaton.known(words, window)
                 for begin, end in spans:
                     rows.append(row)
                     begins.append(start + begin)
                     ends.append(start + end)
-                if spans != [[0, len(words)]]:
+                if seen < len(words) - window + 1:
                     automaton.add(words)
             if rows:
                 at = pa.array(rows, pa.int64())

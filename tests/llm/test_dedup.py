@@ -168,6 +168,25 @@ def test_substrings_equal_brute_force(spark, documents):
     assert sorted(map(tuple, got.collect())) == removed(texts)
 
 
+def low_run(n, seed):
+    """Of random runs of ``n`` words, the one with the lowest hash, so that it is an anchor."""
+    r = np.random.default_rng(seed)
+    runs = [[f"a{k}" for k in r.integers(0, 1 << 30, n)] for _ in range(20_000)]
+    return min(runs, key=lambda run: int(S.run_hashes(S.word_hashes([w.encode() for w in run]), n)[0]))
+
+
+def test_windows_of_a_stretch_covered_by_two_others_are_known_later(spark, documents):
+    """Spans that overlap cover B, but the windows across them are first seen in B."""
+    passage = [f"p{k}" for k in range(12)] + low_run(8, 1) + [f"p{k}" for k in range(20, 32)]
+
+    def edited(*places):
+        return " ".join(f"new{k}" if k in places else w for k, w in enumerate(passage))
+
+    texts = [edited(22), edited(7), edited(), edited(2, 28)]
+    got = sorted(map(tuple, S.remove_repeats(documents(texts)).collect()))
+    assert got == removed(texts) and [r[2] for r in got] == [0, 0, 32, 25]
+
+
 def test_substring_texts_and_odd_rows(spark, documents):
     run = " ".join(f"r{k}" for k in range(20))
     docs = documents([run, run, f"lead {run}  tail", None], [3, None, 9, 4])
