@@ -14,8 +14,13 @@ anchors wherever they stand. Consecutive windows with one anchor place form a st
 3. The first ones are dealt out by anchor: each group is a reference shard, whose suffix
    automaton grows in order of first occurrence. Each stretch is streamed through it for
    matching statistics, and maximal spans of at least ``window`` words are removed.
+4. Anchors with more than ``CROWD`` distinct stretches have no automaton. The windows of
+   their stretches become rows with a 128-bit digest of their words; the first of each
+   digest is found with map-side combining, and all others are removed.
 
-A task of step 3 holds the automaton of one anchor at a time: the distinct text around it.
+A task of step 3 holds the automaton of one anchor at a time, of at most ``CROWD`` stretches
+of ``2 * window`` words; a task of step 4 holds nothing. A bit map decides between the two,
+so some smaller anchors take step 4 too; both give the same result.
 
 Defined results: null and short texts lose nothing; a null id sorts before all others; rows
 that repeat an id and a text are one occurrence and get equal results; rows that repeat
@@ -40,6 +45,7 @@ from recordlens.llm.word_hashes import run_hashes, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
+CROWD = 2048
 
 
 def stretches(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,12 +215,44 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     ["id", "tie", "begin", "end"],
                 )
 
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1").select("anchor")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                some = batch.slice(first, 1024)
+                rows, begins, digests = [], [], []
+                for row, (start, text) in enumerate(zip(some.column(2).to_pylist(), some.column(3).to_pylist())):
+                    words = text.split(b" ")
+                    for k in range(len(words) - window + 1):
+                        rows.append(row)
+                        begins.append(start + k)
+                        digests.append(xxhash.xxh3_128_digest(b" ".join(words[k : k + window])))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(at), some.column(1).take(at), pa.array(begins, pa.int64()), pa.array(digests, pa.binary())],
+                    ["id", "tie", "begin", "digest"],
+                )
+
+    texts = stored(distinct.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1"), "anchors")
+    crowded = marks(texts.where(F.col("texts") > CROWD), F.xxhash64("anchor"))
+    flat = distinct.select("anchor", "first.id", "first.tie", "first.start", "words")
+    flat = with_mark(flat, crowded, F.xxhash64("anchor"), "crowded")
     shards = (
-        distinct.join(several, "anchor", "left_semi").select("anchor", "first.id", "first.tie", "first.start", "words")
+        flat.where("NOT crowded").drop("crowded").join(texts.select("anchor"), "anchor", "left_semi")
         .repartition("anchor").sortWithinPartitions("anchor", "id", "tie", "start")
     )
     partly = shards.mapInArrow(match, f"id {id_kind}, tie long, begin long, end long")
+
+    place = F.struct("id", "tie", "begin")
+    every = flat.where("crowded").select("id", "tie", "start", "words").mapInArrow(
+        windows, f"id {id_kind}, tie long, begin long, digest binary"
+    )
+    earliest = every.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    earliest = earliest.where("copies > 1").select(F.col("digest").alias("d"), "first")
+    later = (
+        every.join(earliest, F.col("digest") == F.col("d")).where(~F.col("first").eqNullSafe(place))
+        .select("id", "tie", "begin", (F.col("begin") + window).alias("end"))
+    )
+    partly = partly.unionByName(later)
     copied = distinct.where("copies > 1").select(F.col("digest").alias("d"), "first")
     wholly = (
         found.drop("anchor", "words").join(copied, F.col("digest") == F.col("d"))

@@ -187,6 +187,33 @@ def test_windows_of_a_stretch_covered_by_two_others_are_known_later(spark, docum
     assert got == removed(texts) and [r[2] for r in got] == [0, 0, 32, 25]
 
 
+def test_automata_stay_bounded_however_many_texts_share_an_anchor(spark, documents, monkeypatch):
+    class Bounded(S.Automaton):
+        def add(self, words):
+            super().add(words)
+            assert self.texts <= 2048
+
+    monkeypatch.setattr(S, "Automaton", Bounded)
+    r, run = np.random.default_rng(2), low_run(8, 3)
+    texts = []
+    for k in range(2300):
+        words = [*(f"b{x}" for x in r.integers(0, 1 << 30, 12)), *run, *(f"c{x}" for x in r.integers(0, 1 << 30, 12))]
+        if k % 50 == 0:
+            words[3:12], words[20:29] = [f"q{x}" for x in range(9)], [f"q{x}" for x in range(k % 7, k % 7 + 9)]
+        texts.append(" ".join(words))
+    got = sorted(map(tuple, S.remove_repeats(documents(texts)).collect()))
+    assert got == removed(texts) and sum(x[2] for x in got) > 0
+
+
+def test_crowded_anchors_equal_brute_force(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "CROWD", 1)
+    texts = [t for t in corpus(60, 8) if t is None or len(t) < 20_000]
+    texts += ["x y z " * 30 + "end", " ".join(f"v{k}" for k in range(25)) * 2]
+    got = S.remove_repeats(documents(texts, [None, *range(1, len(texts))])).collect()
+    want = [(None, *row[1:]) if row[0] == 0 else row for row in removed(texts)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_substring_texts_and_odd_rows(spark, documents):
     run = " ".join(f"r{k}" for k in range(20))
     docs = documents([run, run, f"lead {run}  tail", None], [3, None, 9, 4])
