@@ -1,8 +1,10 @@
 """Re-Pair grammars over token ids, and the file that holds one shard of documents.
 
-A shard repeatedly replaces frequent neighbouring pairs by a new symbol. Each round takes
-all pairs at least a 32nd as frequent as the most frequent one; overlapping places are
-settled from left to right. A pair never starts with the end id, so every document starts
+A shard repeatedly replaces frequent neighbouring pairs by a new symbol, until no pair has
+``least`` places or ``max_rules`` are used up. Each round takes all pairs at least an eighth
+as frequent as the most frequent one; overlapping places are settled from left to right.
+Pairs are counted in hash buckets; once no bucket yields a pair, they are counted exactly.
+A pair never starts with the end id or a symbol that ends with it, so every document starts
 at a symbol of its own and can be decoded alone from the rules and their expansion lengths.
 
 File, little-endian: 4 bytes ``RPR1``; seven int64 (terminals, rules, symbols, bytes per
@@ -13,6 +15,8 @@ its ids int64 and of its symbols int64.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 MAGIC = b"RPR1"
@@ -104,19 +108,26 @@ class Shard:
 
 def compress(
     keys: list[int | None], documents: list[np.ndarray], end_id: int, terminals: int,
-    max_rules: int = 16_000, least: int = 12, rounds: int = 4,
+    max_rules: int = 16_000, least: int = 12, rounds: int | None = None,
 ) -> Shard:
     """One shard from documents that each end with ``end_id``; all ids are below ``terminals``."""
     n_ids = np.array([len(d) for d in documents], np.int64)
     ids = np.concatenate(documents) if documents else np.empty(0, np.uint32)
     symbols = ids.astype(np.uint32)
+    # Symbols that end a document: the end id and the rules that end with it.
+    closes = np.zeros(terminals + max_rules, bool)
+    closes[end_id] = True
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         room = max_rules - len(lengths)
-        symbols, added = _replace(symbols, end_id, terminals + len(lengths), room, least)
+        before, following = symbols, terminals + len(lengths)
+        symbols, added = _replace(before, closes, following, room, least)
+        if not len(added):
+            symbols, added = _replace_exactly(before, closes, following, room, least)
         if not len(added):
             break
+        closes[following : following + len(added)] = closes[added[:, 1]]
         size = np.ones(added.shape, np.uint32)
         nested = added >= terminals
         size[nested] = lengths[added[nested] - terminals]
@@ -133,7 +144,7 @@ def compress(
     )
 
 
-def _replace(symbols, end_id, next_symbol, room, least):
+def _replace(symbols, closes, next_symbol, room, least):
     """One round: the new sequence and the pairs replaced, in the order of their symbols."""
     none = symbols, np.empty((0, 2), np.uint32)
     if len(symbols) < 2 or room <= 0:
@@ -143,14 +154,14 @@ def _replace(symbols, end_id, next_symbol, room, least):
     hashed += right * np.uint32(0x85EBCA6B)
     hashed >>= np.uint32(32 - _BUCKET_BITS)
     bucket = hashed.astype(np.int64)
-    # Pairs that start with the end id go to a bucket of their own, which is never used.
-    bucket[left == end_id] = 1 << _BUCKET_BITS
+    # Pairs that start with the end of a document go to a bucket of their own, never used.
+    bucket[closes[left]] = 1 << _BUCKET_BITS
     count = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
     count[-1] = 0
     most = int(count.max())
     if most < least:
         return none
-    at = np.flatnonzero((count >= max(least, most // 32)).take(bucket))
+    at = np.flatnonzero((count >= max(least, most // 8)).take(bucket))
     # A bucket stands for the pair found in it last; other pairs in it wait for a later round.
     own = bucket.take(at)
     pair = symbols.take(at).astype(np.uint64)
@@ -183,3 +194,52 @@ def _replace(symbols, end_id, next_symbol, room, least):
     pairs = owner[chosen]
     added = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
     return out[keep], added
+
+
+def _replace_exactly(symbols, closes, next_symbol, room, least):
+    """One round by exact counts: all pairs that keep ``least`` places once overlapping ones
+    are settled, else the most frequent pair alone, if it has ``least`` of its own."""
+    none = symbols, np.empty((0, 2), np.uint32)
+    if len(symbols) < 2 or room <= 0:
+        return none
+    # A bucket counts at least what its pairs do, so no frequent pair is left out here.
+    hashed = symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)
+    bucket = (hashed >> np.uint32(32 - _BUCKET_BITS)).astype(np.int64)
+    at = np.flatnonzero((np.bincount(bucket) >= least)[bucket] & ~closes[symbols[:-1]])
+    pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+    found, own, count = np.unique(pair, return_inverse=True, return_counts=True)
+    often = count[own] >= least
+    at, own = at[often], own[often]
+    settled = _every_second(at)
+    used = np.bincount(own[settled], minlength=len(found))
+    chosen = np.flatnonzero(used >= least)
+    chosen = chosen[np.argsort(-used[chosen], kind="stable")][:room]
+    if len(chosen):
+        at, own = at[settled], own[settled]
+    else:
+        # Only a pair of equal symbols overlaps itself.
+        alone = {k: int(np.count_nonzero(_every_second(at[own == k]))) for k in np.unique(own).tolist()}
+        best = max(alone, key=alone.get, default=None)
+        if best is None or alone[best] < least:
+            return none
+        chosen = np.array([best])
+        at = at[own == best]
+        at = at[_every_second(at)]
+        own = np.full(len(at), best)
+    symbol = np.zeros(len(found), np.uint32)
+    symbol[chosen] = next_symbol + np.arange(len(chosen), dtype=np.uint32)
+    new = symbol[own]
+    at, new = at[new > 0], new[new > 0]
+    out = symbols.copy()
+    out[at] = new
+    keep = np.ones(len(symbols), bool)
+    keep[at + 1] = False
+    pairs = found[chosen]
+    return out[keep], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+
+
+def _every_second(at: np.ndarray) -> np.ndarray:
+    """In a run of neighbouring places, every second one."""
+    places = np.arange(len(at))
+    run_start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, places, 0))
+    return ((places - run_start) & 1) == 0

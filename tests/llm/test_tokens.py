@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -49,6 +50,25 @@ def test_grammars_round_trip(documents, least):
     assert [shard.document(k).tolist() for k in range(len(ids))] == [d.tolist() for d in ids]
 
 
+def test_grammars_end_when_no_pair_is_frequent():
+    r = np.random.default_rng(5)
+    ids = [np.append(r.integers(3, 60, 20).astype(np.uint32), np.uint32(2)) for _ in range(400)]
+    ids += [np.append(np.arange(100, 1100, dtype=np.uint32), np.uint32(2))] * 40
+    shard = compress(list(range(len(ids))), ids, 2, 2000)
+    assert all(np.array_equal(a, b) for a, b in zip(shard.documents(), ids))
+    assert shard.lengths.max() > 16
+    pairs = Counter()
+    for part in np.split(shard.symbols, np.cumsum(shard.n_symbols)[:-1]):
+        last = None
+        for at, pair in enumerate(zip(part.tolist(), part[1:].tolist())):
+            if pair[0] == pair[1] and last == (at - 1, pair):
+                last = None
+                continue
+            last = at, pair
+            pairs[pair] += pair[0] != 2
+    assert max(pairs.values()) < 12
+
+
 def test_grammars_compress_and_wide_ids():
     ids = np.tile(np.array([70_000, 5, 9, 70_001, 5], np.uint32), 4000)
     shard = compress([1], [np.append(ids, np.uint32(2))], 2, 80_000)
