@@ -10,8 +10,9 @@ The automata are tables of transitions, so a task parses many stretches of text
 Texts are parsed whole, in stretches of ``STRETCH`` letters; the first phrase of a
 stretch is free.
 
-``LETTERS_PER_LANGUAGE`` and ``ROWS_PER_LANGUAGE`` bound the sample, ``MOST_LANGUAGES`` the
-number of languages; beyond that ``learn`` raises. Labels, ids and sources are never read
+``LETTERS_PER_LANGUAGE``, ``ROWS_PER_LANGUAGE`` distinct texts and the first
+``LETTERS_PER_ROW`` characters of each bound the sample, ``MOST_LANGUAGES`` the number of
+languages; beyond that ``learn`` raises. Labels, ids and sources are never read
 when predicting.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with
@@ -200,16 +201,22 @@ def _parse(table: np.ndarray, width: int, columns: np.ndarray, going: np.ndarray
 
 def learn(docs: DataFrame, text: str = "text", label: str = "lang", order: Column | None = None) -> LanguageModel:
     """A model from ``docs``, whose rows are those that may be learned from. Of each
-    language the rows first by ``order`` (a hash of the text by default) are sampled."""
+    language the distinct texts first by ``order`` (a hash of the text by default) are
+    sampled; of equal texts, and of texts that start alike, the first by ``order`` counts."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("string").alias("label"),
         (F.xxhash64(text) if order is None else order).alias("order"),
         F.substring(text, 1, LETTERS_PER_ROW).alias("text"),
     )
-    first = Window.partitionBy("label").orderBy("order", "text")
-    sample = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= ROWS_PER_LANGUAGE)
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    distinct = rows.groupBy("label", "key").agg(F.min("order").alias("order"))
+    first = Window.partitionBy("label").orderBy("order", "key")
+    chosen = distinct.withColumn("k", F.row_number().over(first)).where(F.col("k") <= ROWS_PER_LANGUAGE)
+    chosen = chosen.drop("order").orderBy("label", "k").limit(MOST_LANGUAGES * ROWS_PER_LANGUAGE + 1)
+    # Only the chosen texts move, one of each.
+    sample = rows.join(F.broadcast(chosen), ["label", "key"]).groupBy("label", "k").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
-    for row in sample.orderBy("label", "k").limit(MOST_LANGUAGES * ROWS_PER_LANGUAGE + 1).collect():
+    for row in sample.orderBy("label", "k").collect():
         samples.setdefault(row["label"], []).append(row["text"])
     if len(samples) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")

@@ -9,6 +9,7 @@ from recordlens.llm import decontaminate as D
 from recordlens.llm import html_extract as H
 from recordlens.llm import language as L
 from recordlens.llm.word_pieces import WordPieces, count_pieces
+from pyspark.sql import functions as F
 
 
 def naive_phrases(sample, text):
@@ -69,6 +70,12 @@ def test_languages(spark, documents):
     assert kept.dtypes == documents(texts).dtypes
 
 
+def test_copies_take_one_place_of_the_sample(spark, documents):
+    texts = ["ab ab"] * 40 + [f"{c * 4} {c * 3}" for c in "cdefghijklmnopqrstuvwxyz"]
+    model = L.learn(documents(texts, langs=["en"] * len(texts)), order=F.col("n_chars"))
+    assert len(model.alphabet) == 2 + L.ROWS_PER_LANGUAGE - 1
+
+
 def test_nothing_to_learn(spark, documents):
     model = L.learn(documents(["a", None], langs=[None, "en"]))
     assert {r["lang_pred"] for r in L.identify(documents(["abc", None]), model).collect()} == {"und"}
