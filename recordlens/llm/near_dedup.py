@@ -18,7 +18,15 @@ confirmed on the full sets:
    in another component come to their blocks in the same way, and the links confirmed there
    complete the components. Pairs are never rows; members are, once per order.
 
-At a similarity of 0.75 all ``TREES`` orders miss a pair about twice in 100,000.
+3. A region that was too large at ``SHALLOW`` values asks more of a pair, so its members go
+   through ``MORE_TREES`` further orders and are linked there in the same way.
+
+At a similarity of 0.75 a pair has the first 3, 4, 5 or 6 values of an order in common with
+a chance of 42, 32, 24 or 18 %. All ``TREES`` orders at 3 values miss it about twice in
+100,000; a pair that needs more somewhere has all ``TREES + MORE_TREES`` orders, which miss
+it at most twice in 100,000 at 6 values and less at 4 or 5. The size of a region therefore
+does not lower what is found. The further orders use the lowest byte of each value; values
+that agree in it by chance only add candidates.
 
 Defined results: words are lower-cased (A-Z); fewer than five words are one shingle; a text
 without words has an empty set and no links; rows with a null id can join a component but
@@ -49,14 +57,18 @@ PERCENT = 75
 TREES = 20
 SHALLOW, DEEP = 3, 6
 VALUES = 256
+#: (1 - 0.75 ** SHALLOW) ** TREES and (1 - 0.75 ** DEEP) ** (TREES + MORE_TREES) are both 2e-5.
+MORE_TREES = 36
+_ALL_VALUES = DEEP * (TREES + MORE_TREES)
 CROWD = 2048
 FIRST_TREES = 3
 #: 0.75 less 4.5 deviations of the mean of 256 values.
 AGREEING = int(VALUES * (PERCENT / 100 - 4.5 * (0.75 * 0.25 / VALUES) ** 0.5))
 
 _RANDOM = np.random.default_rng(20_240_229)
-_FACTORS = _RANDOM.integers(0, 1 << 32, VALUES, np.uint32) | np.uint32(1)
-_FLIPS = _RANDOM.integers(0, 1 << 32, VALUES, np.uint32)
+_DRAWN = [_RANDOM.integers(0, 1 << 32, n, np.uint32) for n in (VALUES, VALUES, _ALL_VALUES - VALUES, _ALL_VALUES - VALUES)]
+_FACTORS = np.concatenate(_DRAWN[::2]) | np.uint32(1)
+_FLIPS = np.concatenate(_DRAWN[1::2])
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -73,7 +85,7 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """The MinHash values of each non-empty set."""
-    out = np.empty((len(sets), VALUES), np.uint32)
+    out = np.empty((len(sets), _ALL_VALUES), np.uint32)
     first = 0
     while first < len(sets):
         last, held = first, 0
@@ -84,7 +96,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         hashes = (np.concatenate(some) >> np.uint64(32)).astype(np.uint32)
         starts = np.cumsum([0] + [len(s) for s in some[:-1]])
         mixed = np.empty_like(hashes)
-        for k in range(VALUES):
+        for k in range(_ALL_VALUES):
             np.bitwise_xor(hashes, _FLIPS[k], out=mixed)
             np.multiply(mixed, _FACTORS[k], out=mixed)
             out[first:last, k] = np.minimum.reduceat(mixed, starts)
@@ -104,8 +116,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``id, tie, n, node, forest, sketch`` per document: set size, fingerprint, signature."""
-    kind = f"id {dict(docs.dtypes)['id']}, tie long, n long, node binary, forest binary, sketch binary"
+    """``id, tie, n, node, forest, sketch, more`` per document: set size, fingerprint,
+    signature; ``more`` goes on where ``sketch`` ends."""
+    kind = f"id {dict(docs.dtypes)['id']}, tie long, n long, node binary, forest binary, sketch binary, more binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,29 +130,30 @@ def _signed(docs: DataFrame) -> DataFrame:
                 for s in sets:
                     if len(s):
                         own = next(values)
-                        rows.append((len(s), fingerprint(s), own[: TREES * DEEP].astype(">u4").tobytes(), own.astype(np.uint8).tobytes()))
+                        rows.append((len(s), fingerprint(s), own[: TREES * DEEP].astype(">u4").tobytes(), own[:VALUES].astype(np.uint8).tobytes(), own[VALUES:].astype(np.uint8).tobytes()))
                     else:
-                        rows.append((0, None, None, None))
-                n, nodes, forest, sketch = zip(*rows)
+                        rows.append((0, None, None, None, None))
+                n, nodes, forest, sketch, more = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (nodes, forest, sketch))],
-                    ["id", "tie", "n", "node", "forest", "sketch"],
+                    [some.column(0), some.column(1), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (nodes, forest, sketch, more))],
+                    ["id", "tie", "n", "node", "forest", "sketch", "more"],
                 )
 
     return docs.select("id", "tie", "text").mapInArrow(run, kind)
 
 
-def _prefix(depth: int) -> Column:
-    """The region of an order at a depth: the order and its first values."""
-    label = F.expr(f"substring(forest, tree * {4 * DEEP} + 1, {4 * depth})")
+def _prefix(depth: int, width: int, first: int) -> Column:
+    """The region of an order at a depth: the order and its first values, of ``width`` bytes."""
+    label = F.expr(f"substring(forest, (tree - {first}) * {width * DEEP} + 1, {width * depth})")
     return F.xxhash64("tree", label)
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
-    """``block, tree, part, other, node``: members of regions of two or more, by blocks."""
-    rows = nodes.select("node", "forest", F.explode(F.expr(f"sequence(0, {TREES - 1})")).alias("tree"))
-    level = rows.select("node", "tree", *[_prefix(d).alias(f"at{d}") for d in range(SHALLOW, DEEP + 1)])
-    found = None
+def _regions(nodes: DataFrame, first: int = 0, trees: int = TREES, width: int = 4) -> tuple[DataFrame, DataFrame | None]:
+    """``block, tree, part, node``: members of regions of two or more, by blocks; and the
+    nodes of regions that were too large at ``SHALLOW`` values, if there are any."""
+    rows = nodes.select("node", "forest", F.explode(F.expr(f"sequence({first}, {first + trees - 1})")).alias("tree"))
+    level = rows.select("node", "tree", *[_prefix(d, width, first).alias(f"at{d}") for d in range(SHALLOW, DEEP + 1)])
+    found = crowded = None
     for depth in range(SHALLOW, DEEP + 1):
         sizes = level.groupBy(F.col(f"at{depth}").alias("region")).agg(F.count("*").alias("size")).where("size > 1")
         members = level.join(sizes, F.col(f"at{depth}") == F.col("region"))
@@ -150,15 +164,18 @@ def _regions(nodes: DataFrame) -> DataFrame:
             level = stored(members.where(F.col("size") > CROWD).drop("region", "size"), "crowded")
             if level.isEmpty():
                 break
+            if depth == SHALLOW:
+                crowded = level.select("node").distinct()
     blocks = F.ceil(F.col("size") / F.lit(CROWD // 2)).cast("int")
     own = F.when(F.col("size") <= CROWD, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
     count = F.when(F.col("size") <= CROWD, 1).otherwise(blocks)
-    return (
+    members = (
         found.withColumns({"part": own, "blocks": count})
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("node", "tree", "part",
                 F.xxhash64("region", F.least("part", "other"), F.greatest("part", "other")).alias("block"))
     )
+    return members, crowded
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -289,20 +306,37 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
     return stored(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
 
 
+def _as_links(labels: DataFrame) -> DataFrame:
+    """Components as links of their nodes to their label."""
+    return labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """``id, tie, n, component_id`` of the documents ``id, tie, text``."""
     signed = stored(_signed(rows), "signatures")
     nodes = stored(
         signed.where("node IS NOT NULL").groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("forest").alias("forest"), F.first("sketch").alias("sketch")),
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("forest").alias("forest"), F.first("sketch").alias("sketch"),
+             F.first("more").alias("more")),
         "nodes",
     )
-    members = _regions(nodes).join(nodes.select("node", "n", "sketch"), "node")
+    members, crowded = _regions(nodes)
+    members = members.join(nodes.select("node", "n", "sketch"), "node")
     suspects = stored(_suspects(members.withColumn("label", F.col("node"))), "suspects")
     sets = _full_sets(rows, nodes, suspects.select("node").distinct())
     first = stored(_links(suspects.where(F.col("tree") < FIRST_TREES), sets), "first-links")
     apart = _suspects(_relabelled(suspects, components(first)))
-    labels = components(first.unionByName(_links(apart, sets)))
+    links = first.unionByName(_links(apart, sets))
+    labels = components(links)
+    if crowded is not None:
+        # Bytes of the values after those of the first orders.
+        rest = F.expr(f"concat(substring(sketch, {DEEP * TREES + 1}, {VALUES - DEEP * TREES}), more)")
+        deeper = nodes.join(crowded, "node", "left_semi").select("node", rest.alias("forest"))
+        members, _ = _regions(deeper, TREES, MORE_TREES, 1)
+        members = members.join(nodes.select("node", "n", "sketch"), "node")
+        more = stored(_suspects(_relabelled(members.withColumn("label", F.col("node")), labels)), "more-suspects")
+        sets = _full_sets(rows, nodes, more.select("node").distinct())
+        labels = components(_as_links(labels).unionByName(_links(more, sets)))
 
     known = labels.select(F.col("node").alias("k"), "label")
     named = nodes.select("node", "id").join(known, F.col("node") == F.col("k"), "left")

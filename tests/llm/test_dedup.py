@@ -92,6 +92,19 @@ def test_near_groups_equal_brute_force(spark, documents, monkeypatch, seed, crow
     assert sorted(map(tuple, got.collect())) == near(texts, list(range(len(texts))))
 
 
+def test_pairs_in_a_crowded_template_are_found(spark, documents, monkeypatch):
+    """Of 2,500 such pairs, three that share six values in none of the first 20 orders."""
+    monkeypatch.setattr(N, "CROWD", 4)
+    template = [f"t{k}" for k in range(169)]
+
+    def text(p, side):
+        return " ".join(template + [f"pair{p}x{k}" for k in range(4)] + [f"own{p}x{side}x{k}" for k in range(27)])
+
+    texts = [text(p, side) for p in (653, 692, 1284) for side in range(2)] + [text(f"f{p}", 0) for p in range(12)]
+    got = sorted(map(tuple, N.near_groups(documents(texts)).collect()))
+    assert got == near(texts, list(range(len(texts)))) and sum(not row[3] for row in got) == 3
+
+
 def test_a_star_of_near_copies_is_one_component(spark, documents):
     """Copies that are near their base but not near each other, close to the threshold."""
     base = [f"b{k}" for k in range(200)]
