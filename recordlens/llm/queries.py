@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens.llm.decontaminate import find_passages
+from recordlens.llm.divergence import divergences
 from recordlens.llm.exact_dedup import exact_groups
 from recordlens.llm.html_extract import extract
 from recordlens.llm.language import identify, learn
@@ -195,3 +196,46 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+@_query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+z AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+      FROM g JOIN k ON k.lang = g.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n,
+             1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+      FROM z JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM z GROUP BY lang, term) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f
+      FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY a.lang, a.source, b.source),
+e AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.f, 0) AS value
+      FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+t AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value
+      FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+u AS (SELECT lang, source, 'pair' AS part, item, value,
+             row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM e
+      UNION ALL
+      SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+             row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM t) AS ranked
+      WHERE rank <= 10)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM u
+"""
