@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlens.llm.conversations import damage_and_repair
 from recordlens.llm.decontaminate import find_passages
 from recordlens.llm.divergence import divergences
 from recordlens.llm.exact_dedup import exact_groups
@@ -198,6 +199,11 @@ FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 @_query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(table(spark, sf_dir, "documents"))
