@@ -15,6 +15,7 @@ from recordlens.llm.html_extract import extract
 from recordlens.llm.language import identify, learn
 from recordlens.llm.near_dedup import near_groups
 from recordlens.llm.packing import pack
+from recordlens.llm.personal_data import KINDS, count_of, find_personal_data, written
 from recordlens.llm.store import table
 from recordlens.llm.substring_dedup import remove_repeats
 from recordlens.llm.token_files import read_ids, write_ids
@@ -199,6 +200,18 @@ FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+@_query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 @_query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage_and_repair(table(spark, sf_dir, "conversations"))
