@@ -25,6 +25,8 @@ rows and no candidates leave the priors as they are; further columns are not rea
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from recordlens.llm.store import stored
 
 KINDS = ["email", "ip", "card", "phone"]
+SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]++"
@@ -74,34 +77,87 @@ PRIOR = {
 }
 PRIOR_VOTES = 50.0
 PRIOR_SHARE, PRIOR_SPANS = 0.5, 2.0
-ROUNDS, STILL = 30, 1e-6
+ROUNDS, STILL = 30, 1e-4
 TRAITS = ["n_digits", "joints", "left", "right", "words", "form", "check", "gazetteer", "neighbours"]
 ACCEPT = 0.5
+#: Values of a running sum that are summed in one block.
+BLOCK = 256
 CONTEXT = 40
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, start: Column, combine) -> Column:
+    """What ``combine`` makes of all values before each one, a block at a time: a value costs
+    at most ``BLOCK`` steps, and a block as many as there are blocks."""
+    part = lambda array, b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK))
+    fold = lambda array, first: F.aggregate(array, first, combine)
+
+    def of(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.call_function("div", F.size(v) - 1, F.lit(BLOCK)).cast("int"))
+
+        def within(whole: Column) -> Column:
+            def of_block(b: Column) -> Column:
+                before = fold(F.slice(whole, F.lit(1), b), start)
+                return _let(
+                    F.struct(part(v, b).alias("v"), before.alias("before")),
+                    lambda x: F.transform(x["v"], lambda _, i: fold(F.slice(x["v"], F.lit(1), i), x["before"])),
+                )
+
+            return F.flatten(F.transform(blocks, of_block))
+
+        return _let(F.transform(blocks, lambda b: fold(part(v, b), start)), within)
+
+    return F.when(F.size(values) > 0, _let(values, of)).otherwise(F.array().cast("array<int>"))
+
+
 def located(text: Column, pattern: str) -> Column:
     """``start, text, before, after`` of each match; one pass for the matches, one for what is between."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    # With their surroundings first: what follows never looks at the whole text again.
-    pairs = F.zip_with(
-        F.zip_with(found, between, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap"))),
-        F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(1))),
-        lambda p, after: F.struct(p["m"].alias("m"), p["gap"].alias("gap"), F.left(after, F.lit(1)).alias("after")),
-    )
-    kind = "array<struct<start:int,text:string,before:string,after:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def add(acc: Column, p: Column) -> Column:
-        begins = acc["at"] + F.length(p["gap"])
-        span = F.struct(
-            begins.alias("start"), p["m"].alias("text"),
-            F.right(p["gap"], F.lit(CONTEXT)).alias("before"), F.coalesce(p["after"], F.lit("")).alias("after"),
+
+    def spans(x: Column) -> Column:
+        widths = F.zip_with(x["m"], F.slice(x["gaps"], F.lit(1), F.size(x["m"])), lambda m, gap: F.length(m) + F.length(gap))
+        ends = _running(widths, F.lit(0), lambda a, b: a + b)
+        sides = F.zip_with(
+            F.slice(x["gaps"], F.lit(1), F.size(x["m"])), F.slice(x["gaps"], F.lit(2), F.size(x["m"])),
+            lambda gap, after: F.struct(gap.alias("gap"), F.left(after, F.lit(1)).alias("after")),
+        )
+        return F.zip_with(
+            F.zip_with(x["m"], sides, lambda m, side: F.struct(m.alias("m"), side.alias("side"))), ends,
+            lambda p, at: F.struct(
+                (at + F.length(p["side"]["gap"])).alias("start"), p["m"].alias("text"),
+                F.right(p["side"]["gap"], F.lit(CONTEXT)).alias("before"), p["side"]["after"].alias("after"),
+            ),
         )
-        return F.struct((begins + F.length(p["m"])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, add, lambda acc: acc["out"])
+    return _let(F.struct(found.alias("m"), between.alias("gaps")), spans)
+
+
+def untouched(spans: Column, blockers: Column) -> Column:
+    """The spans that share no character with a blocker, both sorted once and passed over."""
+
+    def of(x: Column) -> Column:
+        limit = 2**31 - 1
+        ends = _running(F.transform(x, lambda s: F.when(s["blocks"], s["end"]).otherwise(-1)), F.lit(-1), lambda a, b: F.greatest(a, b))
+        starts = _running(
+            F.transform(F.reverse(x), lambda s: F.when(s["blocks"], s["start"]).otherwise(limit)), F.lit(limit), lambda a, b: F.least(a, b)
+        )
+        near = F.zip_with(ends, F.reverse(starts), lambda end, begin: F.struct(end.alias("end"), begin.alias("start")))
+        both = F.zip_with(x, near, lambda s, n: F.struct(s.alias("s"), n.alias("n")))
+        free = F.filter(
+            both, lambda b: ~b["s"]["blocks"] & (b["n"]["end"] <= b["s"]["start"]) & (b["n"]["start"] >= b["s"]["end"])
+        )
+        return F.transform(free, lambda b: F.struct(b["s"]["kind"].alias("kind"), b["s"]["start"].alias("start"), b["s"]["end"].alias("end")))
+
+    marked = lambda array, blocks: F.transform(
+        array, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(blocks).alias("blocks"))
+    )
+    together = F.array_sort(F.concat(marked(spans, False), marked(blockers, True)))
+    return F.when((F.size(spans) == 0) | (F.size(blockers) == 0), spans).otherwise(_let(together, of))
 
 
 def digits_of(text: Column) -> Column:
@@ -206,7 +262,7 @@ def base_spans(text: Column) -> Column:
             found, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"),
                                       (s["start"] + F.length(s["text"])).alias("end"))
         )
-        return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>"))
+        return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(SPANS))
 
     return F.concat(*[of(kind) for kind in KINDS])
 
@@ -232,49 +288,54 @@ def candidates(text: Column) -> Column:
     return F.concat(*[of(kind) for kind in KINDS])
 
 
-def _by_kind(values: list[float]) -> Column:
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("kind") + 1)
+def _log_odds(share: list[float], rates: dict[str, list[tuple[float, float]]]) -> Column:
+    """Log odds that candidates who voted so are real; votes are independent given that."""
+    table = []
+    for kind in range(len(KINDS)):
+        for name in LABELERS:
+            a, b = rates[name][kind]
+            table += [0.0, math.log((1 - a) / (1 - b)), math.log(a / b)]
+    prior = F.element_at(F.array(*[F.lit(math.log(s / (1 - s))) for s in share]), F.col("kind") + 1)
+    weight = F.array(*[F.lit(w) for w in table])
+    vote = lambda k: F.instr(F.lit("-01"), F.substring("votes", k + 1, 1))
+    place = lambda k: F.col("kind") * 3 * len(LABELERS) + 3 * k
+    return reduce(add, [F.element_at(weight, place(k) + vote(k)) for k in range(len(LABELERS))], prior)
 
 
-def _posterior(share: list[float], rates: dict[str, list[tuple[float, float]]]) -> Column:
-    """Probability that candidates who voted so are real; votes are independent given that."""
-    total = _by_kind([math.log(s / (1 - s)) for s in share])
-    for n, name in enumerate(LABELERS):
-        vote = F.substring("votes", n + 1, 1)
-        yes = _by_kind([math.log(a / b) for a, b in rates[name]])
-        no = _by_kind([math.log((1 - a) / (1 - b)) for a, b in rates[name]])
-        total = total + F.when(vote == "1", yes).when(vote == "0", no).otherwise(0.0)
-    return 1 / (1 + F.exp(-total))
+def _real(share, rates) -> Column:
+    return 1 / (1 + F.exp(-_log_odds(share, rates)))
 
 
 def estimate(patterns: DataFrame) -> tuple[list[float], dict[str, list[tuple[float, float]]]]:
-    """Share of real spans by kind, and each labeler's rates, from ``kind, votes, n``."""
+    """Share of real spans by kind, and each labeler's rates, from ``kind, votes, n``.
+
+    Each round is one aggregate over the counted patterns; what it returns is two sums for
+    each kind, labeler and vote.
+    """
     share = [PRIOR_SHARE for _ in KINDS]
     rates = {name: [PRIOR[name] for _ in KINDS] for name in LABELERS}
+    said = F.array(*[F.concat(F.lit(f"{k}"), F.substring("votes", k + 1, 1)) for k in range(len(LABELERS))])
     for _ in range(ROUNDS):
-        judged = patterns.withColumn("real", _posterior(share, rates))
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("real")).alias("n_real")]
-        for k, name in enumerate(LABELERS):
-            vote = F.substring("votes", k + 1, 1)
-            for side, weight in (("real", F.col("real")), ("other", 1 - F.col("real"))):
-                sums.append(F.sum(F.when(vote == "1", F.col("n") * weight)).alias(f"{name}_{side}_yes"))
-                sums.append(F.sum(F.when(vote != "-", F.col("n") * weight)).alias(f"{name}_{side}"))
-        found = {row["kind"]: row for row in judged.groupBy("kind").agg(*sums).collect()}
+        judged = patterns.select("kind", "n", (F.col("n") * _real(share, rates)).alias("real"), F.explode(said).alias("said"))
+        sums = {
+            (row["kind"], row["said"]): (row["real"], row["n"] - row["real"])
+            for row in judged.groupBy("kind", "said").agg(F.sum("real").alias("real"), F.sum("n").alias("n")).collect()
+        }
         moved = 0.0
-        for k in range(len(KINDS)):
-            row = found.get(k)
-            if row is None:
-                continue
-            new = (row["n_real"] + PRIOR_SHARE * PRIOR_SPANS) / (row["n"] + PRIOR_SPANS)
-            moved, share[k] = max(moved, abs(new - share[k])), new
-            for name in LABELERS:
+        for kind in {k for k, _ in sums}:
+            of = lambda labeler, votes, kind=kind: [
+                sum(sums.get((kind, f"{labeler}{v}"), (0.0, 0.0))[side] for v in votes) for side in (0, 1)
+            ]
+            real, other = of(0, "-01")
+            new = (real + PRIOR_SHARE * PRIOR_SPANS) / (real + other + PRIOR_SPANS)
+            moved, share[kind] = max(moved, abs(new - share[kind])), new
+            for k, name in enumerate(LABELERS):
                 pair = tuple(
-                    ((row[f"{name}_{side}_yes"] or 0.0) + PRIOR[name][i] * PRIOR_VOTES)
-                    / ((row[f"{name}_{side}"] or 0.0) + PRIOR_VOTES)
-                    for i, side in enumerate(("real", "other"))
+                    (yes + prior * PRIOR_VOTES) / (cast + PRIOR_VOTES)
+                    for yes, cast, prior in zip(of(k, "1"), of(k, "01"), PRIOR[name])
                 )
-                moved = max(moved, *(abs(a - b) for a, b in zip(pair, rates[name][k])))
-                rates[name][k] = pair
+                moved = max(moved, *(abs(a - b) for a, b in zip(pair, rates[name][kind])))
+                rates[name][kind] = pair
         if moved < STILL:
             break
     return share, rates
@@ -286,7 +347,7 @@ def train(patterns: DataFrame, share, rates) -> Column:
     ``patterns``: ``kind, votes, traits, n``. Each candidate counts as a real span for its
     probability and as another for the rest, plus one of either for each value of a trait.
     """
-    judged = patterns.withColumn("real", _posterior(share, rates))
+    judged = patterns.withColumn("real", _real(share, rates))
     each = judged.select("kind", "real", "n", F.posexplode("traits").alias("trait", "value"))
     counts = (
         each.groupBy("kind", "trait", "value")
@@ -329,18 +390,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         .agg(F.count("*").alias("n")),
         "vote-patterns",
     )
-    votes_only = stored(patterns.groupBy("kind", "votes").agg(F.sum("n").alias("n")), "votes")
+    # At most 3^6 rows a kind: one task for each round.
+    votes_only = stored(patterns.groupBy("kind", "votes").agg(F.sum("n").alias("n")).coalesce(1), "votes")
     weights = train(patterns, *estimate(votes_only))
 
     place = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     accepted = F.transform(F.filter("candidates", lambda s: _accepted(s, weights)), place)
-    touches = lambda s, others: F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
     more = found.select("id", "base", F.array_except(accepted, "base").alias("more"))
-    free = more.withColumn("more", F.filter("more", lambda s: ~touches(s, F.col("base"))))
-    earlier = lambda s: F.filter("more", lambda o: o["kind"] < s["kind"])
-    return free.select(
-        F.col("id").alias(id_col), "base", F.filter("more", lambda s: ~touches(s, earlier(s))).alias("added")
-    )
+    free = more.withColumn("more", untouched(F.col("more"), F.col("base")))
+    before = lambda kind: F.filter("more", lambda s: s["kind"] < kind)
+    own = lambda kind: F.filter("more", lambda s: s["kind"] == kind)
+    added = F.concat(*[untouched(own(kind), before(kind)) for kind in range(len(KINDS))])
+    return free.select(F.col("id").alias(id_col), "base", added.alias("added"))
 
 
 def written(spans: Column) -> Column:

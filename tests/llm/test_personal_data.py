@@ -70,10 +70,10 @@ def test_base_spans_equal_plain_patterns(spark):
 
 
 def test_long_runs_without_a_match_take_one_pass(spark):
-    texts = ["a" * 2_000_000, "7" * 1_000_000, "a." * 500_000 + "@", "+" + "1 " * 500_000, "1." * 300_000]
+    texts = ["a" * 2_000_000, "7" * 1_000_000, "a." * 500_000 + "@", "+" + "1 " * 500_000, "1." * 60_000]
     got = found(spark, texts)
     assert all(spans == [] for k, (spans, _) in got.items() if k in (0, 1, 2, 3))
-    assert len(got[4][0]) == 75_000
+    assert len(got[4][0]) == 15_000
 
 
 CLEAN = ["Licensed under version 3.0 of 2007.", "Section 12.4.1 has 1,000,000 rows.", "The year 2024-01-02 10:11:12.",
