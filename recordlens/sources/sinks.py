@@ -6,10 +6,13 @@ import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordlens.domain import ID, LABEL, LABELS
+from recordlens.operators.heads import Head
 
 # Descriptions hold quotes and newlines; this dialect doubles quotes like most CSV tools.
 _CSV = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "false"}
@@ -81,19 +84,36 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_models(models: Mapping[str, LogisticRegressionModel], path: str) -> None:
-    """One fitted model per label below ``path``, and the list of the labels that have one."""
-    for i, model in enumerate(models.values()):
-        model.write().overwrite().save(f"{path}/{i}")
+def save_models(models: Mapping[str, LogisticRegressionModel | Head], path: str) -> None:
+    """One fitted model per label below ``path``, and the list of the labels that have one.
+
+    Spark ML models are saved as such, heads that were fitted together as a table of theirs.
+    """
     spark = SparkSession.active()
-    listed = spark.createDataFrame(list(enumerate(models)), "i int, label string")
-    listed.coalesce(1).write.mode("overwrite").json(f"{path}/labels")
+    listed = [(i, label, isinstance(m, Head)) for i, (label, m) in enumerate(models.items())]
+    heads = [(i, m.intercept, m.coefficients) for (i, _, head), m in zip(listed, models.values()) if head]
+    for (i, _, head), model in zip(listed, models.values()):
+        if not head:
+            model.write().overwrite().save(f"{path}/{i}")
+    if heads:
+        table = spark.createDataFrame(heads, T.StructType.fromDDL("i int, intercept double").add("coefficients", VectorUDT()))
+        table.write.mode("overwrite").parquet(f"{path}/heads")
+    spark.createDataFrame(listed, "i int, label string, head boolean").coalesce(1).write.mode("overwrite").json(
+        f"{path}/labels"
+    )
 
 
-def load_models(spark: SparkSession, path: str) -> dict[str, LogisticRegressionModel]:
+def load_models(spark: SparkSession, path: str) -> dict[str, LogisticRegressionModel | Head]:
     """The stored models by label, in the order they were saved."""
-    listed = spark.read.schema("i int, label string").json(f"{path}/labels").orderBy("i").collect()
-    return {row["label"]: LogisticRegressionModel.load(f"{path}/{row['i']}") for row in listed}
+    listed = spark.read.schema("i int, label string, head boolean").json(f"{path}/labels").orderBy("i").collect()
+    heads = {}
+    if any(row["head"] for row in listed):
+        rows = spark.read.parquet(f"{path}/heads").collect()
+        heads = {r["i"]: Head(r["coefficients"], r["intercept"]) for r in rows}
+    return {
+        row["label"]: heads[row["i"]] if row["head"] else LogisticRegressionModel.load(f"{path}/{row['i']}")
+        for row in listed
+    }
 
 
 def stored_megabytes(spark: SparkSession, path: str) -> float:
