@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlens.llm.memory import slices
 from recordlens.llm.store import stored
 from recordlens.llm.token_ids import utf8
 
@@ -150,7 +151,7 @@ def find_passages(
     def scan(part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = Passages(part.value, window)
-            for batch in batches:
+            for batch in slices(batches, 1):
                 for first in range(0, batch.num_rows, 512):
                     some = batch.slice(first, 512)
                     n_words, spans, items = [], [], []
@@ -187,12 +188,15 @@ def drop_contaminated(
     def keep(part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = Passages(part.value, window)
-            for batch in batches:
+            for batch in slices(batches, at):
                 clean = [not tables.occur_in(words_of(t)) for t in utf8(batch.column(at))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for part in benchmark_parts(benchmark, window, item_col, item_text):
-        docs = docs.mapInArrow(keep(sc.broadcast(part)), docs.schema)
-    return docs
+    parts = benchmark_parts(benchmark, window, item_col, item_text)
+    found = docs.mapInArrow(keep(sc.broadcast(next(parts, []))), docs.schema)
+    for part in parts:
+        # Written between, so that a task holds the tables of one part at a time.
+        found = stored(found, "decontaminated").mapInArrow(keep(sc.broadcast(part)), docs.schema)
+    return found

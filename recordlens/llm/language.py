@@ -11,7 +11,7 @@ Texts are parsed whole, in stretches of ``STRETCH`` letters; the first phrase of
 stretch is free.
 
 ``LETTERS_PER_LANGUAGE``, ``ROWS_PER_LANGUAGE`` distinct texts and the first
-``LETTERS_PER_ROW`` characters of each bound the sample, ``MOST_LANGUAGES`` the number of
+``LETTERS_PER_ROW`` characters of each bound the sample, all its letters count, ``MOST_LANGUAGES`` the number of
 languages; beyond that ``learn`` raises. Labels, ids and sources are never read
 when predicting.
 
@@ -23,7 +23,6 @@ by ``keep_identified``.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordlens.llm.memory import slices
 from recordlens.llm.token_ids import utf8
 
 LETTERS_PER_LANGUAGE = 40_000
 ROWS_PER_LANGUAGE = 24
 LETTERS_PER_ROW = 4_000
 MOST_LANGUAGES = 200
-MOST_LETTERS = 250
+#: Transitions are a dense table for a language of at most so many letters, while all dense
+#: tables take at most so many bytes; else sorted pairs of state and letter.
+DENSE_LETTERS = 250
+DENSE_BYTES = 128 << 20
 STRETCH = 512
 BATCH_LETTERS = 2_000_000
 
@@ -53,9 +56,8 @@ def _letter_class() -> np.ndarray:
     return _CLASSES[0]
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions by state and symbol of the automaton of all substrings; -1 where none.
-    State 0 is the empty string."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 0 is the empty string."""
     nexts: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -82,6 +84,12 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[old] = link[state] = copy
         last = state
+    return nexts
+
+
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """The automaton as a table by state and symbol; -1 where there is no transition."""
+    nexts = automaton(symbols)
     table = np.full((len(nexts), width), -1, np.int32)
     for state, row in enumerate(nexts):
         if row:
@@ -89,28 +97,64 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
     return table
 
 
+class Transitions:
+    """The automaton of one language over its own letters.
+
+    ``own``: its symbol of each symbol of the whole alphabet, the last one for letters that
+    its sample does not have and that it therefore cannot follow."""
+
+    def __init__(self, sample: np.ndarray, width: int, room: int):
+        letters = np.unique(sample)
+        self.width = len(letters) + 1
+        self.own = np.full(width, len(letters), np.int32)
+        self.own[letters] = np.arange(len(letters))
+        symbols = self.own[sample].tolist()
+        self.table = self.keys = self.targets = None
+        if self.width <= DENSE_LETTERS + 2 and 8 * len(symbols) * self.width <= room:
+            self.table = suffix_automaton(symbols, self.width).reshape(-1)
+            return
+        rows = automaton(symbols)
+        pairs = sorted((state * self.width + c, to) for state, row in enumerate(rows) for c, to in row.items())
+        self.keys = np.array([k for k, _ in pairs], np.int64)
+        self.targets = np.array([t for _, t in pairs], np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.table, self.keys, self.targets) if a is not None)
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next state of each, -1 where there is none."""
+        if self.table is not None:
+            return self.table.take(state * np.int32(self.width) + symbol)
+        if not len(self.keys):
+            return np.full(len(symbol), -1, np.int32)
+        wanted = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.targets[at], np.int32(-1))
+
+
 class LanguageModel:
-    """Automata of several languages over one alphabet: 0 is a gap between words, the last
-    symbol any letter not in the alphabet, which no automaton can follow."""
+    """Automata of several languages over one alphabet of all sampled letters: 0 is a gap between
+    words, the last symbol any letter that no sample has, which no automaton can follow."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        letters = Counter()
-        for texts in samples.values():
-            for text in texts:
-                letters.update(c for c in text.lower() if c.isalpha())
-        self.alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:MOST_LETTERS]]
+        letters = {c for texts in samples.values() for text in texts for c in text.lower() if c.isalpha()}
+        self.alphabet = sorted(letters)
         self.width = len(self.alphabet) + 2
         self.languages = sorted(samples)
-        self.tables, self.bits = [], []
-        symbol = self._symbol_of()
+        self.tables: list[Transitions] = []
+        self.bits: list[float] = []
+        symbol, room = self._symbol_of(), DENSE_BYTES
         for language in self.languages:
             sample = self._symbols(symbol, " ".join(samples[language]))[:LETTERS_PER_LANGUAGE]
-            self.tables.append(suffix_automaton(sample.tolist(), self.width))
+            self.tables.append(Transitions(sample, self.width, room))
+            room -= self.tables[-1].nbytes
             self.bits.append(float(np.log2(max(2, len(sample)))))
         self.symbol = None
 
     def _symbol_of(self) -> np.ndarray:
-        symbol = np.where(_letter_class() == 1, self.width - 1, 0).astype(np.uint8)
+        kind = np.uint8 if self.width <= 256 else np.int32
+        symbol = np.where(_letter_class() == 1, self.width - 1, 0).astype(kind)
         for n, c in enumerate(self.alphabet):
             symbol[ord(c)] = n + 1
         return symbol
@@ -130,7 +174,7 @@ class LanguageModel:
         sizes = np.array([len(f) for f in found], np.int64)
         pieces = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        grid = np.zeros((len(owner), STRETCH), np.uint8)
+        grid = np.zeros((len(owner), STRETCH), self.symbol.dtype)
         lengths = np.full(len(owner), STRETCH, np.int64)
         ends = np.cumsum(pieces)
         for k, symbols in enumerate(found):
@@ -144,7 +188,7 @@ class LanguageModel:
         going = np.searchsorted(-lengths[order], -np.arange(STRETCH), "left")
         bits = np.zeros((len(texts), len(self.languages)))
         for n, table in enumerate(self.tables):
-            phrases = _parse(table.reshape(-1), self.width, columns, going)
+            phrases = _parse(table, columns, going)
             bits[:, n] = np.bincount(owner[order], phrases, len(texts)) * self.bits[n]
         return bits / np.maximum(sizes, 1)[:, None], lettered
 
@@ -179,20 +223,20 @@ def _batches(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield some
 
 
-def _parse(table: np.ndarray, width: int, columns: np.ndarray, going: np.ndarray) -> np.ndarray:
+def _parse(table: Transitions, columns: np.ndarray, going: np.ndarray) -> np.ndarray:
     """Phrases of each stretch, all stretches one symbol at a time."""
     state = np.zeros(columns.shape[1], np.int32)
     phrases = np.zeros(columns.shape[1], np.int64)
     for position, n in enumerate(going.tolist()):
         if not n:
             break
-        symbol = columns[position, :n]
-        at = table.take(state[:n] * np.int32(width) + symbol)
+        symbol = table.own[columns[position, :n]]
+        at = table.follow(state[:n], symbol)
         stuck = np.flatnonzero(at < 0)
         if len(stuck):
             # A phrase ends here unless none has begun; the next starts with this symbol.
             phrases[stuck] += state[stuck] > 0
-            again = table.take(symbol[stuck])
+            again = table.follow(np.zeros(len(stuck), np.int32), symbol[stuck])
             phrases[stuck] += again < 0
             at[stuck] = np.maximum(again, 0)
         state[:n] = at
@@ -229,7 +273,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col), F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             names, scores, least = shared.value.predict(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(least, pa.float64())],
@@ -249,7 +293,7 @@ def keep_identified(
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             names, _, least = shared.value.predict(utf8(batch.column(at)))
             keep = [n != UNKNOWN and (most_bits is None or b <= most_bits) for n, b in zip(names, least)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 
 from recordlens.llm.components import components
 from recordlens.llm.marks import marks, with_mark
+from recordlens.llm.memory import slices
 from recordlens.llm.store import stored
 from recordlens.llm.token_ids import utf8
 from recordlens.llm.word_hashes import run_hashes, word_hashes
@@ -121,7 +122,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     kind = f"id {dict(docs.dtypes)['id']}, tie long, n long, node binary, forest binary, sketch binary, more binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 sets = [shingle_set(t) for t in utf8(some.column(2))]
@@ -295,7 +296,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
     rows = with_mark(docs.select("id", "text"), marks(first, F.xxhash64("id")), F.xxhash64("id"), "marked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             sets = [shingle_set(t) for t in utf8(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -364,11 +365,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one id of each component, with all their columns.
 
-    Only rows that may be among the dropped ones, by a bit map of fixed size, are shuffled."""
-    own, tie = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text}`"))
-    groups = _grouped(docs.select(own.alias("id"), tie.alias("tie"), F.col(f"`{text}`").alias("text")))
+    Only rows that may be among the dropped ones, by a bit map of fixed size, are shuffled.
+    Rows travel as one struct, so that columns of any name come back."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    own, content = F.col(f"_doc.`{id_col}`"), F.col(f"_doc.`{text}`")
+    tie = F.xxhash64(content)
+    groups = _grouped(whole.select(own.alias("id"), tie.alias("tie"), content.alias("text")))
     dropped = stored(groups.where(~_kept()).select(F.col("id").alias("_gone"), F.col("tie").alias("_as")), "near-copies")
-    rows = with_mark(docs, marks(dropped, F.xxhash64("_gone", "_as")), F.xxhash64(own, tie), "_marked")
-    maybe = rows.where("_marked").drop("_marked")
+    rows = with_mark(whole, marks(dropped, F.xxhash64("_gone", "_as")), F.xxhash64(own, tie), "_marked")
+    maybe = rows.where("_marked").select("_doc")
     stays = maybe.join(dropped, own.eqNullSafe(F.col("_gone")) & tie.eqNullSafe(F.col("_as")), "left_anti")
-    return rows.where("NOT _marked").drop("_marked").unionByName(stays)
+    return rows.where("NOT _marked").select("_doc").unionByName(stays.select("_doc")).select("_doc.*")

@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from recordlens.llm.memory import REMEMBERED_BYTES
+
 # The normaliser and splitting pattern of files that drop white space.
 _NORMALIZER = [
     {"type": "NFC"},
@@ -54,7 +56,8 @@ class _Stretches(dict):
                 ids = self[stretch[:-1]] + self[stretch[-1:]]
             else:
                 ids = self._any(stretch.decode())
-        self[stretch] = ids
+        if len(stretch) <= REMEMBERED_BYTES:
+            self[stretch] = ids
         return ids
 
     def _word(self, letters: str) -> bytes:

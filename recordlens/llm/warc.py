@@ -33,6 +33,8 @@ from recordlens.llm.token_ids import utf8
 
 LEAST_BYTES = 100
 FILE_BYTES = 64 << 20
+#: Archive bytes one task reads back.
+TASK_BYTES = 32 << 20
 READ_BYTES = 4 << 20
 #: Bytes between two wanted records that are read along rather than skipped.
 GAP_BYTES = 64 << 10
@@ -189,7 +191,10 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
         if opened[1] is not None:
             opened[1].close()
 
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset")
+    # As many tasks as the archives have parts of ``TASK_BYTES``, however small the index is.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    wanted = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset")
     return wanted.sortWithinPartitions("file", "offset").mapInArrow(read, kind)
 
 

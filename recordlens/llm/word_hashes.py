@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from recordlens.llm.memory import REMEMBERED_BYTES, emptied
+
 REMEMBERED = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -12,11 +14,14 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED_BYTES:
+            self[word] = found
         return found
 
 
 _SEEN = _Words()
+emptied(_SEEN.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
