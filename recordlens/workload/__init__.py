@@ -10,6 +10,8 @@ _MODULES = [
     "metric_queries",
     "feature_queries",
     "model_queries",
+    "leakage_queries",
+    "calibration_queries",
 ]
 
 
