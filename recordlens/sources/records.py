@@ -47,6 +47,20 @@ def union_splits(splits: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def with_file_order(scan: DataFrame, column: str = "input_order") -> DataFrame:
+    """Tag the rows of a file scan with their place: file, start of the split, place in the task.
+
+    Files come in the order of their paths. A task may read several splits of several files,
+    and a file may be read by many tasks; rows of a split are read in order.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return scan.select("*", place.alias(column))
+
+
 def with_input_order(df: DataFrame, column: str = "input_order") -> DataFrame:
     """Tag rows with their scan position, so a sink can restore input order."""
     return df.withColumn(column, F.monotonically_increasing_id())

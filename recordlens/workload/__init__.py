@@ -12,6 +12,7 @@ _MODULES = [
     "model_queries",
     "leakage_queries",
     "calibration_queries",
+    "stream_queries",
 ]
 
 
