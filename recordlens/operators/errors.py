@@ -41,20 +41,11 @@ FAILURE_MODES = [
 ]
 
 
-# What each named confusion looks like.
-MODE_DESCRIPTIONS = {
-    "Read vs Write ambiguity": (
-        "Records that only return something and records that change something are taken for "
-        "each other: the text speaks of results, and whether state changes is left unsaid."
-    ),
-    "Execute vs Read/Write ambiguity": (
-        "Records that run something are told by their verbs, which reading and writing share. "
-        "Some could carry either label."
-    ),
-    "Minority-class collapse": (
-        "Labels with few training rows lose theirs to the large labels, class weights or not."
-    ),
-}
+def describe_mode(mode: str, modes: Sequence[tuple[str, str, list]] = tuple(FAILURE_MODES)) -> str:
+    """What a mode counts, in words made from its cells."""
+    cells = dict.fromkeys(cell for name, _, own in modes if name == mode for cell in own)
+    told = [f"{actual} given another label" if predicted is None else f"{actual} given {predicted}" for actual, predicted in cells]
+    return "Counts rows of " + ", rows of ".join(told) + "." if told else ""
 
 
 def misclassified(

@@ -50,16 +50,13 @@ def audit_tables(records: DataFrame, labels: Sequence[str] = LABELS) -> dict[str
 
 
 def _findings(single: DataFrame) -> DataFrame:
-    """What the leakage counts mean, one line each, in order."""
-    share = percent_finding(
-        F.col("percentage"), "of training groups hold exactly one label, so the group alone "
-        "often gives the label away."
-    )
+    """One line for each thing that was counted, made from the counts and the settings."""
+    pairs = ", ".join(f"{a} and {b}" for a, b in SPLIT_PAIRS)
     lines = [
-        F.lit("A label word inside a text is common language and proves no leakage on its own."),
-        share,
-        F.lit(f"{GROUP} therefore stays out of the model input."),
-        F.lit("Splits that share no group keep a group seen in training out of validation and test."),
+        F.lit(f"A text counts for one of the {len(LABELS)} labels if it contains the label's name in lower case."),
+        percent_finding(F.col("percentage"), f"of the values of {GROUP} in the training split occur with one label."),
+        F.lit(f"{GROUP} is used for splitting only; texts are made from {', '.join(TEXT_FIELDS)}."),
+        F.lit(f"Splits are compared by the values of {GROUP} that they share: {pairs}."),
     ]
     return single.select(F.posexplode(F.array(*lines)).alias("line", "finding"))
 

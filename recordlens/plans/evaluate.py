@@ -38,7 +38,7 @@ def error_analysis(scored: DataFrame, labels: Sequence[str] = LABELS, modes=None
         "validation_error_rate": rate["error_rate"],
         "errors_by_actual_class": {r["label"]: r["n"] for r in by_class},
         "recurring_failure_modes": recurring,
-        "failure_mode_descriptions": {m: errors.MODE_DESCRIPTIONS.get(m, "") for m in recurring},
+        "failure_mode_descriptions": {m: errors.describe_mode(m) for m in recurring},
         "example_selection": (
             f"Of each actual label the {errors.ERRORS_PER_CLASS} errors predicted with most "
             "confidence, so rare labels are shown too."
