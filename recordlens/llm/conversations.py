@@ -10,7 +10,8 @@ back-pointers whose nodes count their children: a node without children is dropp
 when all survivors share an ancestor the edits up to it are final and leave. For every
 two survivors the order of their complete unresolved edits is carried along, so a tie is
 decided on all of them, however long, without walking the tree. What is unresolved takes
-eight bytes a row beside the row's key; most conversations resolve within a few rows.
+one small list a row (some 200 bytes) beside the row's key; most conversations resolve
+within a few rows, one of user rows only not before its end.
 
 The search sees keys and faults only, one row for each distinct (turn, role, text). Its
 edits then meet the texts in one shuffle by conversation, sorted, and are merged as a
