@@ -142,3 +142,19 @@ def test_no_cartesian_products(spark):
     texts = corpus(30, 5)
     plan = neighbors.nearest_neighbors(frame(spark, texts), "id", "text")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_candidates_leave_a_task_only_if_they_can_match(spark):
+    """Every row shares a prefix term with every fourth other one, but few are similar."""
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    texts = [f"mark{i % 4} " + " ".join(r.choices(words, k=30)) for i in range(240)]
+    texts += [f"{t} {words[i]}" for i, t in enumerate(texts[:30])]
+    vectors = neighbors.vector_table(frame(spark, texts), "id", "text")
+    groups = neighbors._vector_groups(vectors).join(vectors.select("id", "v"), "id")
+    leading = neighbors._leading(groups, 0.9)
+    met = neighbors._candidates(leading, neighbors._blocks(leading, 256), 0.9, 256)
+    got = {(r["i"], r["j"]) for r in met.collect() if not r["blocks"]}
+    want = {tuple(sorted((i, j))) for i, (j, _) in python_neighbors(texts).items()}
+    assert len(want) > 20 and want <= {tuple(sorted(p)) for p in got}
+    assert len(got) < 3 * len(want)
