@@ -158,3 +158,17 @@ def test_candidates_leave_a_task_only_if_they_can_match(spark):
     want = {tuple(sorted((i, j))) for i, (j, _) in python_neighbors(texts).items()}
     assert len(want) > 20 and want <= {tuple(sorted(p)) for p in got}
     assert len(got) < 3 * len(want)
+
+
+def test_partitions_grow_with_the_text(spark, monkeypatch):
+    from recordlens import session
+
+    monkeypatch.setattr(session, "TASK_TEXT_BYTES", 1000)
+    df = frame(spark, corpus(150, 5))
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    vocab = features.fit_vocabulary(df, "text", 2, 1000)
+    entries = features.tfidf_entries(df, "id", "text", vocab)
+    assert entries.rdd.getNumPartitions() == -(-size // 1000) > 8
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert entries.count() == df.count()
