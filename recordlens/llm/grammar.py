@@ -2,8 +2,9 @@
 
 A shard repeatedly replaces frequent neighbouring pairs by a new symbol, until no pair has
 ``least`` places or ``max_rules`` are used up. Each round takes all pairs at least an eighth
-as frequent as the most frequent one; overlapping places are settled from left to right.
-Pairs are counted in hash buckets; once no bucket yields a pair, they are counted exactly.
+as frequent as the fullest bucket of pairs, or, if there is none, all with ``least`` places;
+overlapping places are settled from left to right. Counts of hash buckets are kept from round
+to round and only say which places to look at: the pairs there are counted exactly.
 A pair never starts with the end id or a symbol that ends with it, so every document starts
 at a symbol of its own and can be decoded alone from the rules and their expansion lengths.
 
@@ -21,6 +22,8 @@ import numpy as np
 
 MAGIC = b"RPR1"
 _BUCKET_BITS = 20
+_NEVER = 1 << _BUCKET_BITS
+_NONE = np.empty((0, 2), np.uint32)
 
 
 class Shard:
@@ -113,26 +116,23 @@ def compress(
     """One shard from documents that each end with ``end_id``; all ids are below ``terminals``."""
     n_ids = np.array([len(d) for d in documents], np.int64)
     ids = np.concatenate(documents) if documents else np.empty(0, np.uint32)
-    symbols = ids.astype(np.uint32)
     # Symbols that end a document: the end id and the rules that end with it.
     closes = np.zeros(terminals + max_rules, bool)
     closes[end_id] = True
+    pairs = _Pairs(ids.astype(np.uint32), closes)
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.uint32)
     for _ in itertools.count() if rounds is None else range(rounds):
         room = max_rules - len(lengths)
-        before, following = symbols, terminals + len(lengths)
-        symbols, added = _replace(before, closes, following, room, least)
-        if not len(added):
-            symbols, added = _replace_exactly(before, closes, following, room, least)
+        added = pairs.replace(terminals + len(lengths), room, least)
         if not len(added):
             break
-        closes[following : following + len(added)] = closes[added[:, 1]]
         size = np.ones(added.shape, np.uint32)
         nested = added >= terminals
         size[nested] = lengths[added[nested] - terminals]
         rules.append(added)
         lengths = np.concatenate([lengths, size.sum(1, dtype=np.uint32)])
+    symbols = pairs.symbols
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     size = np.ones(len(symbols), np.int64)
     size[symbols >= terminals] = lengths[symbols[symbols >= terminals] - terminals]
@@ -144,98 +144,94 @@ def compress(
     )
 
 
-def _replace(symbols, closes, next_symbol, room, least):
-    """One round: the new sequence and the pairs replaced, in the order of their symbols."""
-    none = symbols, np.empty((0, 2), np.uint32)
-    if len(symbols) < 2 or room <= 0:
-        return none
-    left, right = symbols[:-1], symbols[1:]
-    hashed = left * np.uint32(0x9E3779B1)
-    hashed += right * np.uint32(0x85EBCA6B)
-    hashed >>= np.uint32(32 - _BUCKET_BITS)
-    bucket = hashed.astype(np.int64)
-    # Pairs that start with the end of a document go to a bucket of their own, never used.
-    bucket[closes[left]] = 1 << _BUCKET_BITS
-    count = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
-    count[-1] = 0
-    most = int(count.max())
-    if most < least:
-        return none
-    at = np.flatnonzero((count >= max(least, most // 8)).take(bucket))
-    # A bucket stands for the pair found in it last; other pairs in it wait for a later round.
-    own = bucket.take(at)
-    pair = symbols.take(at).astype(np.uint64)
-    pair <<= np.uint64(32)
-    pair |= symbols.take(at + 1)
-    owner = np.zeros(len(count), np.uint64)
-    owner[own] = pair
-    same = owner.take(own) == pair
-    at, own = at[same], own[same]
-    # In a run of neighbouring places, every second one is replaced.
-    new_run = np.diff(at, prepend=-2) != 1
-    places = np.arange(len(at))
-    run_start = np.maximum.accumulate(np.where(new_run, places, 0))
-    second = ((places - run_start) & 1) == 0
-    at, own = at[second], own[second]
-    used = np.bincount(own, minlength=len(count))
-    chosen = np.flatnonzero(used >= max(4, least // 3))
-    chosen = chosen[np.argsort(-used[chosen], kind="stable")][:room]
-    if not len(chosen):
-        return none
-    symbol = np.zeros(len(count), np.uint32)
-    symbol[chosen] = next_symbol + np.arange(len(chosen), dtype=np.uint32)
-    new = symbol.take(own)
-    taken = new > 0
-    at = at[taken]
-    out = symbols.copy()
-    out[at] = new[taken]
-    keep = np.ones(len(symbols), bool)
-    keep[at + 1] = False
-    pairs = owner[chosen]
-    added = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-    return out[keep], added
-
-
-def _replace_exactly(symbols, closes, next_symbol, room, least):
-    """One round by exact counts: all pairs that keep ``least`` places once overlapping ones
-    are settled, else the most frequent pair alone, if it has ``least`` of its own."""
-    none = symbols, np.empty((0, 2), np.uint32)
-    if len(symbols) < 2 or room <= 0:
-        return none
-    # A bucket counts at least what its pairs do, so no frequent pair is left out here.
-    hashed = symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)
-    bucket = (hashed >> np.uint32(32 - _BUCKET_BITS)).astype(np.int64)
-    at = np.flatnonzero((np.bincount(bucket) >= least)[bucket] & ~closes[symbols[:-1]])
-    pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-    found, own, count = np.unique(pair, return_inverse=True, return_counts=True)
-    often = count[own] >= least
-    at, own = at[often], own[often]
-    settled = _every_second(at)
-    used = np.bincount(own[settled], minlength=len(found))
-    chosen = np.flatnonzero(used >= least)
-    chosen = chosen[np.argsort(-used[chosen], kind="stable")][:room]
-    if len(chosen):
-        at, own = at[settled], own[settled]
-    else:
-        # Only a pair of equal symbols overlaps itself.
-        alone = {k: int(np.count_nonzero(_every_second(at[own == k]))) for k in np.unique(own).tolist()}
-        best = max(alone, key=alone.get, default=None)
-        if best is None or alone[best] < least:
-            return none
-        chosen = np.array([best])
-        at = at[own == best]
-        at = at[_every_second(at)]
-        own = np.full(len(at), best)
-    symbol = np.zeros(len(found), np.uint32)
-    symbol[chosen] = next_symbol + np.arange(len(chosen), dtype=np.uint32)
-    new = symbol[own]
-    at, new = at[new > 0], new[new > 0]
-    out = symbols.copy()
-    out[at] = new
-    keep = np.ones(len(symbols), bool)
-    keep[at + 1] = False
-    pairs = found[chosen]
-    return out[keep], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+class _Pairs:
+    """A sequence and how often the pairs of each bucket occur in it. The counts are carried
+    from round to round: only pairs beside a replaced place leave or enter them."""
+
+    def __init__(self, symbols: np.ndarray, closes: np.ndarray):
+        self.symbols, self.closes = symbols, closes
+        # The two sides of a pair in one number.
+        self.half = 16 if len(closes) <= 1 << 16 else 32
+        self.kind = np.uint32 if self.half == 16 else np.uint64
+        self.bucket = np.full(len(symbols), _NEVER, np.int64)
+        self.bucket[:-1] = self._buckets(symbols[:-1], symbols[1:])
+        self.count = np.bincount(self.bucket, minlength=_NEVER + 1)
+        self.count[_NEVER] = 0
+
+    def _buckets(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The buckets of pairs. One that starts with the end of a document is never used."""
+        hashed = left * np.uint32(0x9E3779B1)
+        hashed += right * np.uint32(0x85EBCA6B)
+        hashed >>= np.uint32(32 - _BUCKET_BITS)
+        bucket = hashed.astype(np.int64)
+        bucket[self.closes.take(left)] = _NEVER
+        return bucket
+
+    def _at(self, at: np.ndarray) -> np.ndarray:
+        pair = self.symbols.take(at).astype(self.kind)
+        pair <<= self.kind(self.half)
+        pair |= self.symbols.take(at + 1)
+        return pair
+
+    def _put(self, at: np.ndarray, new: np.ndarray, next_symbol: int, pairs: np.ndarray) -> np.ndarray:
+        """``new`` in place of the pairs at ``at``, and the rules for them."""
+        sides = pairs >> self.kind(self.half), pairs & self.kind((1 << self.half) - 1)
+        added = np.stack(sides, 1).astype(np.uint32)
+        self.closes[next_symbol : next_symbol + len(added)] = self.closes[added[:, 1]]
+        touched = np.zeros(len(self.symbols) + 1, bool)
+        for beside in (at, at + 1, at - 1):
+            touched[beside] = True  # -1 stands for the place after the last, which is left out
+        np.subtract.at(self.count, self.bucket[touched[:-1]], 1)
+        self.symbols[at] = new
+        keep = np.ones(len(self.symbols), bool)
+        keep[at + 1] = False
+        self.symbols, self.bucket = self.symbols[keep], self.bucket[keep]
+        # The last symbol starts no pair.
+        self.bucket[-1] = _NEVER
+        changed = np.flatnonzero(touched[:-1][keep][:-1])
+        self.bucket[changed] = self._buckets(self.symbols.take(changed), self.symbols.take(changed + 1))
+        np.add.at(self.count, self.bucket[changed], 1)
+        self.count[_NEVER] = 0
+        return added
+
+    def replace(self, next_symbol: int, room: int, least: int) -> np.ndarray:
+        """One round: the pairs replaced, in the order of their symbols."""
+        if len(self.symbols) < 2 or room <= 0:
+            return _NONE
+        due = max(least, int(self.count.max()) // 8)
+        added = self._replace(next_symbol, room, due, least)
+        if not len(added) and due > least:
+            added = self._replace(next_symbol, room, least, least)
+        return added
+
+    def _replace(self, next_symbol: int, room: int, due: int, least: int) -> np.ndarray:
+        """All pairs that occur ``due`` times and keep a third of ``least`` places once overlapping
+        ones are settled, else the most frequent of them alone, if it has ``least`` of its own."""
+        # A bucket counts at least what its pairs do, so no frequent pair is left out here.
+        at = np.flatnonzero((self.count >= due).take(self.bucket))
+        found, own, count = np.unique(self._at(at), return_inverse=True, return_counts=True)
+        often = count[own] >= due
+        at, own = at[often], own[often]
+        settled = _every_second(at)
+        used = np.bincount(own[settled], minlength=len(found))
+        chosen = np.flatnonzero(used >= max(4, least // 3))
+        chosen = chosen[np.argsort(-used[chosen], kind="stable")][:room]
+        if len(chosen):
+            at, own = at[settled], own[settled]
+        else:
+            # Only a pair of equal symbols overlaps itself.
+            alone = {k: int(np.count_nonzero(_every_second(at[own == k]))) for k in np.unique(own).tolist()}
+            best = max(alone, key=alone.get, default=None)
+            if best is None or alone[best] < least:
+                return _NONE
+            chosen = np.array([best])
+            at = at[own == best]
+            at = at[_every_second(at)]
+            own = np.full(len(at), best)
+        symbol = np.zeros(len(found), np.uint32)
+        symbol[chosen] = next_symbol + np.arange(len(chosen), dtype=np.uint32)
+        new = symbol[own]
+        return self._put(at[new > 0], new[new > 0], next_symbol, found[chosen])
 
 
 def _every_second(at: np.ndarray) -> np.ndarray:

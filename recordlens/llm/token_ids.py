@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
 
 import numpy as np
@@ -25,6 +26,8 @@ _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 # Letters that normalising leaves as they are, then ASCII punctuation.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
+_LETTERS = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PUNCTUATION = string.punctuation.encode()
 
 REMEMBERED = 500_000
 
@@ -39,7 +42,8 @@ class _Stretches(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole, self.model = whole, whole.model
-        self.to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(x): to_bytes.pre_tokenize_str(x)[0][0] for x in _LETTERS}
         self.older: dict[bytes, bytes] = {}
 
     def turn(self) -> None:
@@ -52,10 +56,12 @@ class _Stretches(dict):
         if ids is None:
             if stretch.isalpha():
                 ids = self._word(stretch.lower().decode())
-            elif stretch[-1:] in b",." and stretch[:-1].isalpha():
-                ids = self[stretch[:-1]] + self[stretch[-1:]]
             else:
-                ids = self._any(stretch.decode())
+                letters = stretch.rstrip(_PUNCTUATION)
+                if letters.isalpha():
+                    ids = self[letters] + self[stretch[len(letters) :]]
+                else:
+                    ids = self._any(stretch.decode())
         if len(stretch) <= REMEMBERED_BYTES:
             self[stretch] = ids
         return ids
@@ -66,8 +72,9 @@ class _Stretches(dict):
     def _any(self, text: str) -> bytes:
         match = _PLAIN.fullmatch(text.lower())
         if match and match[1]:
-            ids = self._word(match[1] if match[1].isascii() else self.to_bytes.pre_tokenize_str(match[1])[0][0])
-            return ids + self[match[2].encode()] if match[2] else ids
+            if match[2]:
+                return self[match[1].encode()] + self[match[2].encode()]
+            return self._word(match[1].translate(self.letters))
         return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 

@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import AWKWARD, corpus
+from recordlens.llm import grammar
 from recordlens.llm import packing as P
+from recordlens.llm import token_ids as token_ids_module
 from recordlens.llm import token_files as T
 from recordlens.llm import warc as W
 from recordlens.llm.grammar import Shard, compress
@@ -75,6 +77,27 @@ def test_grammars_compress_and_wide_ids():
     assert len(shard.to_bytes()) < len(ids) and shard.document(0)[:-1].tolist() == ids.tolist()
 
 
+def test_grammars_count_again_only_beside_replaced_places(monkeypatch):
+    counted = []
+    buckets = grammar._Pairs._buckets
+    monkeypatch.setattr(grammar._Pairs, "_buckets", lambda self, left, right: (counted.append(len(left)), buckets(self, left, right))[1])
+    r = np.random.default_rng(3)
+    words = r.integers(3, 9_000, (3_000, 2)).astype(np.uint32)
+    ids = [np.append(words[(3_000 * r.random(50_000) ** 3).astype(int)].ravel(), np.uint32(2))]
+    shard = compress([1], ids, 2, 9_000)
+    assert np.array_equal(shard.document(0), ids[0])
+    assert len(counted) > 3 and sum(counted) < 2 * len(ids[0])
+
+
+def test_words_before_punctuation_are_tokenized_once(word_bpe, plain, monkeypatch):
+    seen = []
+    word = token_ids_module._Stretches._word
+    monkeypatch.setattr(token_ids_module._Stretches, "_word", lambda self, x: (seen.append(x), word(self, x))[1])
+    text = "Zebraxolotl zebraxolotl... zebraxolotl!! zebraxolotl, çüzebrax çüzebrax?!"
+    assert token_ids_module.TokenIds(word_bpe).encode([text.encode()])[0].tolist() == plain(text)
+    assert len(seen) == 2
+
+
 @pytest.mark.parametrize("shard_ids", [1_000_000, 700])
 def test_files_round_trip(spark, documents, plain, word_bpe, monkeypatch, shard_ids):
     monkeypatch.setattr(T, "SHARD_IDS", shard_ids)
