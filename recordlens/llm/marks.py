@@ -7,6 +7,8 @@ take the exact path; on a corpus so large that most bits are set, all rows do.
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,19 @@ def with_mark(df: DataFrame, bit_map: DataFrame, key: Column, name: str) -> Data
         )
     )
     return joined.drop("_mark_want", "_mark_at", "_mark_row", "_mark_bits")
+
+
+def sent(bit_map: DataFrame) -> Broadcast:
+    """The bit map for use inside Python tasks, by ``marked``."""
+    bits = np.zeros(BITS // 8, np.uint8)
+    size = _BITS_PER_ROW // 8
+    for row in bit_map.toLocalIterator():
+        at = (row["_mark_row"] - 1) * size
+        bits[at : at + size] = np.frombuffer(row["_mark_bits"], np.uint8)
+    return bit_map.sparkSession.sparkContext.broadcast(bits)
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ``keys`` may be in the set, as ``with_mark`` says."""
+    slots = keys.view(np.uint64) & np.uint64(BITS - 1)
+    return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

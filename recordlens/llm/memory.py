@@ -22,19 +22,25 @@ def emptied(clear: Callable[[], None]) -> None:
     _EMPTIED.append(clear)
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in parts of bounded text."""
+    most = SLICE_BYTES if most is None else most
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(lengths.astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = int(upto[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in parts of bounded text; afterwards what the task
     remembered is dropped and its memory goes back to the machine."""
     try:
         for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-            upto = np.cumsum(lengths.astype(np.int64))
-            first = 0
-            while first < batch.num_rows:
-                before = int(upto[first - 1]) if first else 0
-                last = max(first + 1, int(np.searchsorted(upto, before + SLICE_BYTES, "right")))
-                yield batch.slice(first, last - first)
-                first = last
+            yield from parts(batch, column)
     finally:
         settle()
 

@@ -7,7 +7,7 @@ window is its smallest hash of ``ANCHOR`` consecutive words, so equal windows ha
 anchors wherever they stand. Consecutive windows with one anchor place form a stretch.
 
 1. Anchors are counted; a bit map of fixed size keeps those that may occur twice, and only
-   their stretches go on.
+   their stretches are cut out of the texts and go on.
 2. Equal stretches, by a 128-bit digest of their words, are grouped with map-side combining,
    so a passage in a third of all documents is a few rows per task. All but the first of
    them are removed whole.
@@ -30,15 +30,18 @@ only the id are ordered by a hash of the text; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.marks import marks, with_mark
+from recordlens.llm.marks import marked, marks, sent, with_mark
+from recordlens.llm.memory import parts
 from recordlens.llm.store import stored
 from recordlens.llm.token_ids import utf8
 from recordlens.llm.word_hashes import run_hashes, word_hashes
@@ -48,22 +51,41 @@ ANCHOR = 8
 CROWD = 2048
 
 
-def stretches(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each stretch of a document."""
+#: Text whose words are hashed at once; a longer text stands alone.
+PART_BYTES = 1 << 20
+
+
+def stretches(
+    hashes: np.ndarray, lengths: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, document, first window (a place in ``hashes``) and number of windows of each
+    stretch of documents of ``lengths`` words, laid end to end in ``hashes``."""
     anchor = min(ANCHOR, window)
-    n = len(hashes) - window + 1
-    if n <= 0:
+    ends = np.cumsum(lengths)
+    if len(hashes) < window:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
-    runs = run_hashes(hashes, anchor)
-    best, place = runs[:n].copy(), np.arange(n)
-    for k in range(1, window - anchor + 1):
-        other = runs[k : k + n]
-        less = np.flatnonzero(other < best)
-        best[less] = other[less]
-        place[less] = less + k
-    starts = np.flatnonzero(np.diff(place, prepend=-1))
-    return best[starts], starts, np.diff(starts, append=n)
+        return none.astype(np.uint64), none, none, none
+    best = run_hashes(hashes, anchor)
+    place = np.arange(len(best))
+    # The leftmost smallest run of ``wide`` places, from two of half as many.
+    wide, width = 1, window - anchor + 1
+    while wide < width:
+        step = min(wide, width - wide)
+        less = best[step:] < best[:-step]
+        best = np.where(less, best[step:], best[:-step])
+        place = np.where(less, place[step:], place[:-step])
+        wide += step
+    # Windows end inside their document, so those of two documents have no place in common.
+    windows = np.flatnonzero(np.arange(len(best)) + window <= np.repeat(ends, lengths)[: len(best)])
+    first = np.flatnonzero(np.diff(place[windows], prepend=-1))
+    starts = windows[first]
+    return best[starts], np.searchsorted(ends, starts, "right"), starts, np.diff(first, append=len(windows))
+
+
+def _words(column) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts of ``column``, and how many each has."""
+    split = [t.split() for t in utf8(column)]
+    return list(itertools.chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split))
 
 
 class Automaton:
@@ -138,48 +160,45 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2048):
-                found = [
-                    stretches(word_hashes(t.split()), window)[0] for t in utf8(batch.column(0).slice(first, 2048))
-                ]
+            for some in parts(batch, 0):
+                found = []
+                for part in parts(some, 0, PART_BYTES):
+                    words, lengths = _words(part.column(0))
+                    found.append(stretches(word_hashes(words), lengths, window)[0])
                 keys, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["anchor", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                some = batch.slice(first, 256)
-                rows, keys, starts, counts, texts = [], [], [], [], []
-                for row, text in enumerate(utf8(some.column(2))):
-                    words = text.split()
-                    own, start, count = stretches(word_hashes(words), window)
-                    if not len(own):
-                        continue
-                    joined = b" ".join(words)
-                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                    begin, end = (ends[start] - 1 - np.fromiter((len(words[s]) for s in start), np.int64, len(start))), ends[start + count + window - 2] - 1
-                    texts += [joined[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-                    rows.append(np.full(len(own), row))
-                    keys.append(own)
-                    starts.append(start)
-                    counts.append(count)
-                if rows:
-                    at = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column(0).take(at), some.column(1).take(at), pa.array(np.concatenate(keys).view(np.int64)),
-                         pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts)), pa.array(texts, pa.binary()),
-                         pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())],
-                        ["id", "tie", "anchor", "start", "n", "words", "digest"],
-                    )
+            for some in parts(batch, 2, PART_BYTES):
+                words, lengths = _words(some.column(2))
+                keys, rows, starts, counts = stretches(word_hashes(words), lengths, window)
+                often = np.flatnonzero(marked(again.value, keys))
+                if not len(often):
+                    continue
+                keys, rows, starts, counts = keys[often], rows[often], starts[often], counts[often]
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                begins = np.concatenate([[0], ends])[starts]
+                texts = [joined[a:b] for a, b in zip(begins.tolist(), (ends[starts + counts + window - 2] - 1).tolist())]
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(at), some.column(1).take(at), pa.array(keys.view(np.int64)),
+                     pa.array(starts - (np.cumsum(lengths) - lengths)[rows]), pa.array(counts), pa.array(texts, pa.binary()),
+                     pa.array(list(map(xxhash.xxh3_128_digest, texts)), pa.binary())],
+                    ["id", "tie", "anchor", "start", "n", "words", "digest"],
+                )
 
     id_kind = dict(docs.dtypes)["id"]
     counted = docs.select("text").mapInArrow(anchors, "anchor long, n long")
     repeated = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    # An anchor is a hash itself, so its own low bits are its slot.
+    again = sent(marks(repeated, F.col("anchor")))
     found = docs.select("id", "tie", "text").mapInArrow(
         cut, f"id {id_kind}, tie long, anchor long, start long, n long, words binary, digest binary"
     )
-    found = with_mark(found, marks(repeated, F.xxhash64("anchor")), F.xxhash64("anchor"), "again")
-    found = stored(found.where("again").drop("again"), "stretches")
+    found = stored(found, "stretches")
+    again.unpersist()
 
     order = F.struct("id", "tie", "start", "n")
     distinct = stored(
@@ -276,23 +295,33 @@ def remove_repeats(
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, digests, texts = [], [], [], []
-            for content, found in zip(utf8(batch.column("text")), batch.column("spans").to_pylist()):
-                words = content.split()
-                keep = np.ones(len(words), bool)
-                for span in found or ():
-                    keep[span["begin"] : span["end"]] = False
-                left = b" ".join(w for w, k in zip(words, keep.tolist()) if k) if found else b" ".join(words)
-                n_words.append(len(words))
-                n_removed.append(len(words) - int(keep.sum()))
-                digests.append(hashlib.sha256(left).hexdigest())
-                texts.append(left.decode())
-            columns = [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-            names = [id_col, "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                columns.append(pa.array(texts, pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for some in parts(batch, 1):
+                n_words, n_removed, digests, texts = [], [], [], []
+                places = some.column(2).flatten()
+                begins, ends = places.field("begin").to_pylist(), places.field("end").to_pylist()
+                sizes = pc.fill_null(pc.list_value_length(some.column(2)), 0).to_pylist()
+                at = 0
+                for content, size in zip(utf8(some.column(1)), sizes):
+                    words = content.split()
+                    n = len(words)
+                    if size:
+                        keep = bytearray(b"\1") * n
+                        for begin, end in zip(begins[at : at + size], ends[at : at + size]):
+                            keep[begin:end] = bytes(end - begin)
+                        at += size
+                        words = list(itertools.compress(words, keep))
+                    left = b" ".join(words)
+                    n_words.append(n)
+                    n_removed.append(n - len(words))
+                    digests.append(hashlib.sha256(left).hexdigest())
+                    if with_text:
+                        texts.append(left.decode())
+                columns = [some.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+                names = [id_col, "n_words", "n_removed", "kept_sha256"]
+                if with_text:
+                    columns.append(pa.array(texts, pa.string()))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     # Only documents that may have spans are shuffled to meet them.
     rows = with_mark(rows, marks(spans, F.xxhash64("id", "tie")), F.xxhash64("id", "tie"), "marked")

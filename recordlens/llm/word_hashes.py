@@ -5,29 +5,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from recordlens.llm.memory import REMEMBERED_BYTES, emptied
-
-REMEMBERED = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= REMEMBERED_BYTES:
-            self[word] = found
-        return found
-
-
-_SEEN = _Words()
-emptied(_SEEN.clear)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_SEEN) > REMEMBERED:
-        _SEEN.clear()
-    return np.fromiter(map(_SEEN.__getitem__, words), np.uint64, len(words))
+    """Hashing a word takes less than looking up its hash among all others."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def run_hashes(hashes: np.ndarray, run: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from recordlens.llm import near_dedup as N
 from recordlens.llm import substring_dedup as S
 from recordlens.llm.components import components
 from recordlens.llm.exact_dedup import drop_copies, exact_groups
-from recordlens.llm.marks import marks, with_mark
+from recordlens.llm.marks import marked, marks, sent, with_mark
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,15 @@ def test_marks_keep_every_key(spark):
     assert with_mark(rows, marks(some.limit(0), F.xxhash64("k")), F.xxhash64("k"), "m").filter("m").isEmpty()
 
 
+def test_marks_sent_to_tasks_say_the_same(spark):
+    some = spark.range(0, 3000).select((F.col("id") * 982_451_653_123 - 10**15).alias("k"))
+    bits = sent(marks(some, F.col("k")))
+    rows = with_mark(some.union(some.select(F.col("k") + 67_108_864 * 5 + F.col("k") % 3)), marks(some, F.col("k")), F.col("k"), "m").collect()
+    got = marked(bits.value, np.array([r["k"] for r in rows], np.int64))
+    assert got.tolist() == [r["m"] for r in rows] and 3000 <= got.sum() < len(rows)
+    assert not marked(sent(marks(some.limit(0), F.col("k"))).value, np.array([0, -1], np.int64)).any()
+
+
 def exact(texts, ids):
     groups = defaultdict(list)
     for i, t in zip(ids, texts):
@@ -181,6 +191,33 @@ def test_substrings_equal_brute_force(spark, documents):
     assert sorted(map(tuple, got.collect())) == removed(texts)
 
 
+@pytest.mark.parametrize("window", [3, 8, 20])
+def test_stretches_of_documents_laid_end_to_end(window):
+    r = np.random.default_rng(4)
+    lengths = np.array([0, 5, 40, window, 0, window - 1, 200, 1, 60, 0])
+    hashes = r.integers(0, 30, lengths.sum()).astype(np.uint64)
+    anchor, want = min(S.ANCHOR, window), []
+    for row, start in enumerate(np.cumsum(lengths) - lengths):
+        runs, last = S.run_hashes(hashes[start : start + lengths[row]], anchor), None
+        for k in range(lengths[row] - window + 1):
+            place = k + int(np.argmin(runs[k : k + window - anchor + 1]))
+            if place == last:
+                want[-1][3] += 1
+            else:
+                want.append([int(runs[place]), row, int(start) + k, 1])
+            last = place
+    assert [list(x) for x in zip(*(c.tolist() for c in S.stretches(hashes, lengths, window)))] == want
+
+
+def test_only_stretches_that_may_repeat_are_cut_out(spark, documents, monkeypatch):
+    def refuse(text):
+        raise AssertionError("a stretch was cut out that has no second place")
+
+    monkeypatch.setattr(S, "xxhash", SimpleNamespace(xxh3_128_digest=refuse))
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(20)]
+    assert sorted(map(tuple, S.remove_repeats(documents(texts)).collect())) == removed(texts)
+
+
 def low_run(n, seed):
     """Of random runs of ``n`` words, the one with the lowest hash, so that it is an anchor."""
     r = np.random.default_rng(seed)
