@@ -4,7 +4,10 @@ A shard repeatedly replaces frequent neighbouring pairs by a new symbol, until n
 ``least`` places or ``max_rules`` are used up. Each round takes all pairs at least an eighth
 as frequent as the fullest bucket of pairs, or, if there is none, all with ``least`` places;
 overlapping places are settled from left to right. Counts of hash buckets are kept from round
-to round and only say which places to look at: the pairs there are counted exactly.
+to round and only say which places to look at: the pairs there are counted exactly. Once the
+buckets have been looked through for ``least`` places they are no longer needed: a pair that
+was there before never gains a place, so only the frequent ones found and the pairs beside
+replaced places are counted on.
 A pair never starts with the end id or a symbol that ends with it, so every document starts
 at a symbol of its own and can be decoded alone from the rules and their expansion lengths.
 
@@ -55,20 +58,15 @@ class Shard:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that ``symbols`` stand for."""
-        symbols = symbols.astype(np.int64)
-        rule = symbols >= self.terminals
-        sizes = np.ones(len(symbols), np.int64)
-        sizes[rule] = self.lengths[symbols[rule] - self.terminals]
+        pool, starts = self._expansions()
+        # Ids lie behind the expanded rules, each for itself.
+        pool = np.concatenate([pool, np.arange(self.terminals, dtype=np.uint32)])
+        start = np.concatenate([np.arange(len(pool) - self.terminals, len(pool)), starts])
+        sizes = np.concatenate([np.ones(self.terminals, np.int64), self.lengths]).take(symbols)
         ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        out[(ends - sizes)[~rule]] = symbols[~rule]
-        if rule.any():
-            pool, starts = self._expansions()
-            size = sizes[rule]
-            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            source = np.repeat(starts[symbols[rule] - self.terminals], size) + inside
-            out[np.repeat((ends - sizes)[rule], size) + inside] = pool[source]
-        return out
+        source = np.repeat(start.take(symbols) - ends + sizes, sizes)
+        source += np.arange(len(source))
+        return pool.take(source)
 
     def document(self, k: int) -> np.ndarray:
         """The ids of document ``k`` of the shard, without decoding the others."""
@@ -157,6 +155,8 @@ class _Pairs:
         self.bucket[:-1] = self._buckets(symbols[:-1], symbols[1:])
         self.count = np.bincount(self.bucket, minlength=_NEVER + 1)
         self.count[_NEVER] = 0
+        # Places of pairs that may have ``least`` places, once buckets were looked through for them.
+        self.left: np.ndarray | None = None
 
     def _buckets(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The buckets of pairs. One that starts with the end of a document is never used."""
@@ -181,35 +181,63 @@ class _Pairs:
         touched = np.zeros(len(self.symbols) + 1, bool)
         for beside in (at, at + 1, at - 1):
             touched[beside] = True  # -1 stands for the place after the last, which is left out
-        np.subtract.at(self.count, self.bucket[touched[:-1]], 1)
+        if self.left is None:
+            np.subtract.at(self.count, self.bucket[touched[:-1]], 1)
+        else:
+            same = self.left[~touched[self.left]]
+            same -= np.searchsorted(at + 1, same)
         self.symbols[at] = new
         keep = np.ones(len(self.symbols), bool)
         keep[at + 1] = False
-        self.symbols, self.bucket = self.symbols[keep], self.bucket[keep]
+        self.symbols = self.symbols[keep]
         # The last symbol starts no pair.
-        self.bucket[-1] = _NEVER
         changed = np.flatnonzero(touched[:-1][keep][:-1])
-        self.bucket[changed] = self._buckets(self.symbols.take(changed), self.symbols.take(changed + 1))
-        np.add.at(self.count, self.bucket[changed], 1)
-        self.count[_NEVER] = 0
+        if self.left is None:
+            self.bucket = self.bucket[keep]
+            self.bucket[-1] = _NEVER
+            self.bucket[changed] = self._buckets(self.symbols.take(changed), self.symbols.take(changed + 1))
+            np.add.at(self.count, self.bucket[changed], 1)
+            self.count[_NEVER] = 0
+        else:
+            bucket = self._buckets(self.symbols.take(changed), self.symbols.take(changed + 1))
+            changed = changed[bucket != _NEVER]
+            self.left = np.sort(np.concatenate([same, changed]))
         return added
 
     def replace(self, next_symbol: int, room: int, least: int) -> np.ndarray:
         """One round: the pairs replaced, in the order of their symbols."""
         if len(self.symbols) < 2 or room <= 0:
             return _NONE
-        due = max(least, int(self.count.max()) // 8)
-        added = self._replace(next_symbol, room, due, least)
-        if not len(added) and due > least:
-            added = self._replace(next_symbol, room, least, least)
-        return added
+        if self.left is None:
+            due = max(least, int(self.count.max()) // 8)
+            if due > least:
+                added = self._replace(next_symbol, room, self._places(due), [due], least)
+                if len(added):
+                    return added
+            self.left = self._places(least)
+        return self._replace(next_symbol, room, self.left, None, least)
 
-    def _replace(self, next_symbol: int, room: int, due: int, least: int) -> np.ndarray:
-        """All pairs that occur ``due`` times and keep a third of ``least`` places once overlapping
-        ones are settled, else the most frequent of them alone, if it has ``least`` of its own."""
+    def _places(self, due: int) -> np.ndarray:
         # A bucket counts at least what its pairs do, so no frequent pair is left out here.
-        at = np.flatnonzero((self.count >= due).take(self.bucket))
+        return np.flatnonzero((self.count >= due).take(self.bucket))
+
+    def _replace(self, next_symbol: int, room: int, at: np.ndarray, dues: list[int] | None, least: int) -> np.ndarray:
+        """All pairs that occur as often as is due and keep a third of ``least`` places once overlapping
+        ones are settled, else the most frequent of them alone, if it has ``least`` of its own.
+        Of ``dues`` the first that has any; without them, an eighth of the most frequent, then ``least``."""
         found, own, count = np.unique(self._at(at), return_inverse=True, return_counts=True)
+        if dues is None:
+            often = count[own] >= least
+            at, own = at[often], own[often]
+            self.left = at
+            dues = sorted({max(least, int(count.max(initial=0)) // 8), least}, reverse=True)
+        for due in dues:
+            added = self._replace_due(next_symbol, room, at, own, found, count, due, least)
+            if len(added):
+                return added
+        return _NONE
+
+    def _replace_due(self, next_symbol, room, at, own, found, count, due, least) -> np.ndarray:
         often = count[own] >= due
         at, own = at[often], own[often]
         settled = _every_second(at)

@@ -89,6 +89,23 @@ def test_grammars_count_again_only_beside_replaced_places(monkeypatch):
     assert len(counted) > 3 and sum(counted) < 2 * len(ids[0])
 
 
+def test_rare_pairs_that_share_a_bucket_are_looked_at_once(monkeypatch):
+    looked = []
+    at = grammar._Pairs._at
+    monkeypatch.setattr(grammar._Pairs, "_at", lambda self, places: (looked.append(set(self.symbols[places].tolist())), at(self, places))[1])
+    left, right = np.random.default_rng(6).integers(1000, 30_000, (2, 4_000_000)).astype(np.uint32)
+    bucket = grammar._Pairs(np.array([2], np.uint32), np.zeros(30_000, bool))._buckets(left, right)
+    rare = np.flatnonzero(bucket == np.bincount(bucket).argmax())
+    assert len(rare) >= 12
+    ids = np.concatenate(
+        [[left[k], right[k], 30_000 + n] for n, k in enumerate(rare)] + [[7, 8, 9, 10, 40_000 + n] for n in range(20)] + [[2]]
+    ).astype(np.uint32)
+    shard = compress([1], [ids], 2, 50_000)
+    assert np.array_equal(shard.document(0), ids)
+    seen = [len(places & set(left[rare].tolist())) for places in looked]
+    assert len(shard.rules) == 3 and len(seen) > 2 and seen[0] > 0 and not any(seen[1:])
+
+
 def test_words_before_punctuation_are_tokenized_once(word_bpe, plain, monkeypatch):
     seen = []
     word = token_ids_module._Stretches._word
