@@ -24,7 +24,7 @@ import itertools
 import numpy as np
 
 MAGIC = b"RPR1"
-_BUCKET_BITS = 20
+_BUCKET_BITS = 18
 _NEVER = 1 << _BUCKET_BITS
 _NONE = np.empty((0, 2), np.uint32)
 
@@ -182,18 +182,19 @@ class _Pairs:
         for beside in (at, at + 1, at - 1):
             touched[beside] = True  # -1 stands for the place after the last, which is left out
         if self.left is None:
-            np.subtract.at(self.count, self.bucket[touched[:-1]], 1)
+            np.subtract.at(self.count, self.bucket.take(np.flatnonzero(touched[:-1])), 1)
         else:
             same = self.left[~touched[self.left]]
             same -= np.searchsorted(at + 1, same)
         self.symbols[at] = new
         keep = np.ones(len(self.symbols), bool)
         keep[at + 1] = False
-        self.symbols = self.symbols[keep]
+        keep = np.flatnonzero(keep)
+        self.symbols = self.symbols.take(keep)
         # The last symbol starts no pair.
-        changed = np.flatnonzero(touched[:-1][keep][:-1])
+        changed = np.flatnonzero(touched.take(keep[:-1]))
         if self.left is None:
-            self.bucket = self.bucket[keep]
+            self.bucket = self.bucket.take(keep)
             self.bucket[-1] = _NEVER
             self.bucket[changed] = self._buckets(self.symbols.take(changed), self.symbols.take(changed + 1))
             np.add.at(self.count, self.bucket[changed], 1)
