@@ -30,13 +30,15 @@ _LETTERS = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _PUNCTUATION = string.punctuation.encode()
 
 REMEMBERED = 500_000
+TURNS = 32
 
 _LOADED: dict[str, TokenIds] = {}
 
 
 class _Stretches(dict):
-    """Ids of stretches as bytes, worked out when first asked for. What was asked for before
-    the last turn is kept as the older half, so memory is bounded and frequent words stay."""
+    """Ids of stretches as bytes, worked out when first asked for. The first ones stay, as frequent
+    words come early; ``later`` ones are forgotten when they are as many, and after ``TURNS`` times
+    the first ones too, should the texts have changed. So memory is bounded."""
 
     def __init__(self, whole):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -44,15 +46,18 @@ class _Stretches(dict):
         self.whole, self.model = whole, whole.model
         to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(x): to_bytes.pre_tokenize_str(x)[0][0] for x in _LETTERS}
-        self.older: dict[bytes, bytes] = {}
+        self.later: dict[bytes, bytes] = {}
+        self.turns = 0
 
     def turn(self) -> None:
-        if len(self) > REMEMBERED // 2:
-            self.older = dict(self)
-            self.clear()
+        if len(self.later) > REMEMBERED // 2:
+            self.later.clear()
+            self.turns += 1
+            if self.turns % TURNS == 0:
+                self.clear()
 
     def __missing__(self, stretch: bytes) -> bytes:
-        ids = self.older.get(stretch)
+        ids = self.later.get(stretch)
         if ids is None:
             if stretch.isalpha():
                 ids = self._word(stretch.lower().decode())
@@ -62,8 +67,8 @@ class _Stretches(dict):
                     ids = self[letters] + self[stretch[len(letters) :]]
                 else:
                     ids = self._any(stretch.decode())
-        if len(stretch) <= REMEMBERED_BYTES:
-            self[stretch] = ids
+            if len(stretch) <= REMEMBERED_BYTES:
+                (self if len(self) < REMEMBERED // 2 else self.later)[stretch] = ids
         return ids
 
     def _word(self, letters: str) -> bytes:

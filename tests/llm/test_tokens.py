@@ -115,6 +115,22 @@ def test_words_before_punctuation_are_tokenized_once(word_bpe, plain, monkeypatc
     assert len(seen) == 2
 
 
+def test_frequent_words_stay_and_memory_is_bounded(word_bpe, plain, monkeypatch):
+    asked = []
+    missing = token_ids_module._Stretches.__missing__
+    monkeypatch.setattr(token_ids_module._Stretches, "__missing__", lambda self, x: (asked.append(x), missing(self, x))[1])
+    monkeypatch.setattr(token_ids_module, "REMEMBERED", 20)
+    encoder = token_ids_module.TokenIds(word_bpe)
+    for k in range(30):
+        text = f"the of and {chr(97 + k % 26)}rare{chr(97 + k // 26)} " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}" for j in range(9))
+        assert encoder.encode([text.encode()])[0].tolist() == plain(text)
+        assert len(encoder.seen) <= 10 and len(encoder.seen.later) <= 24
+    assert asked.count(b"the") == asked.count(b"of") == 1
+    for k in range(400):
+        encoder.encode([" ".join(f"x{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(9)).encode()])
+    assert b"the" not in encoder.seen
+
+
 @pytest.mark.parametrize("shard_ids", [1_000_000, 700])
 def test_files_round_trip(spark, documents, plain, word_bpe, monkeypatch, shard_ids):
     monkeypatch.setattr(T, "SHARD_IDS", shard_ids)
