@@ -172,3 +172,81 @@ def test_partitions_grow_with_the_text(spark, monkeypatch):
     assert entries.rdd.getNumPartitions() == -(-size // 1000) > 8
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert entries.count() == df.count()
+
+
+def test_frequent_terms_of_segments_are_those_of_the_whole(spark, monkeypatch):
+    """What no segment has twice is not dealt out, and the vocabulary is the same."""
+    from recordlens.operators import arrow_terms
+
+    monkeypatch.setattr(arrow_terms, "SEGMENT_WORDS", 1500)
+    df = frame(spark, corpus(300, 8))
+    told = []
+    stored = features.stored
+    monkeypatch.setattr(features, "stored", lambda found, name: told.append(stored(found, name)) or told[-1])
+    # ``corpus`` has 400 words; pairs of them make most of the terms.
+    for limit in (60, 300):
+        want = features.fit_vocabulary(df, "text", 2, limit).collect()
+        monkeypatch.setattr(features, "SEGMENTED_BYTES", 0)
+        assert features._frequent_statistics(df, "text", 2, limit, True) is not None
+        assert sorted(features.fit_vocabulary(df, "text", 2, limit).collect()) == sorted(want)
+        monkeypatch.undo()
+        monkeypatch.setattr(arrow_terms, "SEGMENT_WORDS", 1500)
+    assert told[0].count() * 4 < features.term_statistics(df, "text").count()
+    # Terms that no segment told of may belong to a vocabulary without a cut.
+    assert features._frequent_statistics(df, "text", 2, 10**6, True) is None
+    assert features._frequent_statistics(df.limit(0), "text", 2, 10, True) is None
+
+
+def test_rows_of_one_key_are_one_document(spark):
+    texts = corpus(40, 6)
+    rows = [(None if i % 9 == 0 else i // 2 if i % 5 == 0 else i, None if i % 7 == 0 else t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vocab = features.fit_vocabulary(df, "text", 2, 200)
+    got = features.tfidf_entries(df, "id", "text", vocab).collect()
+    want = features._shuffled_entries(df, "id", "text", vocab, 3, True).collect()
+    order = lambda rows: sorted(rows, key=lambda r: (r["id"] is not None, r["id"]))
+    assert [r["id"] for r in order(got)] == [r["id"] for r in order(want)]
+    for a, b in zip(order(got), order(want)):
+        assert [(e["ix"], e["tf"]) for e in a["v"]] == [(e["ix"], e["tf"]) for e in b["v"]]
+        assert [e["w"] for e in a["v"]] == pytest.approx([e["w"] for e in b["v"]], abs=1e-12)
+
+
+def test_large_vocabulary_goes_by_shuffle(spark, monkeypatch):
+    from recordlens import session
+
+    df = frame(spark, corpus(40, 7))
+    want = {r["id"]: r for r in neighbors.nearest_neighbors(df, "id", "text").collect()}
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 100)
+    assert {r["id"]: r for r in neighbors.nearest_neighbors(df, "id", "text").collect()} == want and want
+
+
+def test_only_rows_concerned_are_compared_in_blocks(spark):
+    """Rows with many possible partners stand in blocks with others, which are not sent along."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    template = [f"t{k}" for k in range(40)]
+    texts = [" ".join(["mark", *r.sample(words, 30)]) for _ in range(200)]
+    texts += [" ".join(["mark", *template, words[k]]) for k in range(30)]
+    vectors = neighbors.vector_table(frame(spark, texts), "id", "text")
+    groups = neighbors._vector_groups(vectors).join(vectors.select("id", "v"), "id")
+    leading = neighbors._leading(groups, 0.9)
+    found = neighbors._candidates(leading, neighbors._blocks(leading, 8), 0.9, 8).collect()
+    who = {i for f in found if f["blocks"] for i in f["who"]}
+    assert set(range(200, 230)) <= who and len(who) < 60
+    got = {r["id"]: (r["other"], r["similarity"]) for r in neighbors.nearest_neighbors(frame(spark, texts), "id", "text", frequent=8).collect()}
+    assert got == python_neighbors(texts) and len(got) >= 30
+
+
+def test_packed_counts_are_read_back():
+    from recordlens.operators import arrow_terms
+
+    r = np.random.default_rng(0)
+    for n, terms in ((7, 50), (1, 5), (60, 10**6), (3, 3)):
+        m = int(r.integers(0, 300))
+        row, ids = np.sort(r.integers(0, n, m)), r.integers(0, terms, m)
+        both = arrow_terms.packed_counts(ids, row, n, terms)
+        for lo, hi in ((0, n), (n // 2, n), (0, 0)):
+            length, ix, tf = arrow_terms.unpacked_counts(*(x.slice(lo, hi - lo) for x in both))
+            want = Counter((a, b) for a, b in zip(row.tolist(), ids.tolist()) if lo <= a < hi)
+            assert len(length) == hi - lo
+            assert dict(zip(zip(np.repeat(np.arange(lo, hi), length).tolist(), ix.tolist()), tf.tolist())) == want
