@@ -122,3 +122,43 @@ def test_temperature_undoes_a_known_scale(spark):
     assert before["n"] == after["n"] == 4000 and before["accuracy"] == after["accuracy"]
     assert after["error"] < 0.03 < before["error"]
     assert calibration.fit_temperature(df.limit(0), "z", "y") == 1.0
+
+
+def test_training_rows_are_kept_without_a_shuffle_of_their_texts(spark):
+    train = spark.createDataFrame([(i, f"one two three{i} four{i % 7} five") for i in range(60)], "id long, text string")
+    held = spark.createDataFrame([(i, f"one two three{i} four{i % 7} five") for i in range(5)], "id long, text string")
+    kept = leakage.drop_near_other_split(train, held, "id", "text")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted(r["id"] for r in kept.collect()) == list(range(5, 60))
+
+
+def test_chunks_of_one_class_do_not_meet(spark, monkeypatch):
+    """Of 16 chunks of training rows and 2 of others only pairs across, and at the border, are looked at."""
+    from recordlens.operators import neighbors
+
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(2 * i + (i % 9 == 0), " ".join(r.sample(words, 12))) for i in range(900)]
+    vectors = neighbors.vector_table(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    groups = neighbors._vector_groups(vectors).join(vectors.select("id", "v"), "id")
+    leading = neighbors._leading(groups, 0.9)
+    monkeypatch.setattr(neighbors, "CHUNKS", 18)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+
+    def marks(*_):
+        def tile(key, table):
+            import pyarrow as pa
+
+            a, b = (k.as_py() for k in key)
+            both = len({x % 2 for x in table.column("id").to_pylist()}) == 2
+            columns = [[a], [b], [both], [a], [b], [[]]]
+            return pa.table(dict(zip(["i", "j", "blocks", "b1", "b2", "who"], columns)), schema=pa.schema(
+                [("i", pa.int64()), ("j", pa.int64()), ("blocks", pa.bool_()), ("b1", pa.int64()), ("b2", pa.int64()), ("who", pa.list_(pa.int64()))]
+            ))
+
+        return tile
+
+    monkeypatch.setattr(neighbors, "_tile_pairs", marks)
+    met = neighbors._candidates(leading, neighbors._blocks(leading, 256, 2), 0.9, 256, 2).collect()
+    assert met and all(m["blocks"] for m in met) and len(met) < 18 * 19 / 2 / 2
